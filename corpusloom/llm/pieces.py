@@ -21,6 +21,12 @@ REMEMBERED = 300_000
 #: Longer units have an agenda of their own; shorter ones share one, step by step.
 LONG = 64
 _NONE = np.int32(2**31 - 1)
+SLOT_BITS = 19
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Pieces:
@@ -65,17 +71,26 @@ class Pieces:
                     keys.append(a << 32 | b)
                     ranks.append(rank[p])
                     made.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.array(keys, np.int64)[order]
-        self.ranks = np.array(ranks, np.int32)[order]
-        self.made = np.array(made, np.int32)[order]
+        keys, ranks, made = np.array(keys, np.int64), np.array(ranks, np.int32), np.array(made, np.int32)
+        # A hash table with open addressing: the place of a pair, or the next free one.
+        self.keys = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.ranks, self.made = np.full(1 << SLOT_BITS, _NONE, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        for key, rank_, made_, at in zip(keys.tolist(), ranks.tolist(), made.tolist(), _slots(keys).tolist(), strict=True):
+            while self.keys[at] != -1:
+                at = (at + 1) & ((1 << SLOT_BITS) - 1)
+            self.keys[at], self.ranks[at], self.made[at] = key, rank_, made_
 
     def merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; rank ``_NONE`` where they don't merge."""
-        key = (a.astype(np.int64) << 32) | b.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.ranks[at], _NONE), self.made[at]
+        key = ((a.astype(np.int64) & 0x7FFFFFFF) << 32) | (b.astype(np.int64) & 0x7FFFFFFF)
+        at = _slots(key)
+        held = self.keys[at]
+        astray = np.flatnonzero((held != key) & (held != -1))
+        while len(astray):
+            at[astray] = (at[astray] + 1) & ((1 << SLOT_BITS) - 1)
+            held = self.keys[at[astray]]
+            astray = astray[(held != key[astray]) & (held != -1)]
+        return self.ranks[at], self.made[at]
 
     def agenda(self, unit: str) -> list[int]:
         """Symbols of one unit: a queue of adjacent pairs, best score first, then leftmost."""
@@ -154,16 +169,16 @@ class Pieces:
         short = [k for k, u in enumerate(units) if len(u) <= LONG]
         out: list[list[int]] = [[] for _ in units]
         sym, of = self.symbols([units[k] for k in short])
-        bounds = np.searchsorted(of, np.arange(len(short) + 1))
-        flat = sym.tolist()
-        for j, k in enumerate(short):
-            out[k] = flat[bounds[j] : bounds[j + 1]]
+        bounds = np.append(0, np.cumsum(np.bincount(of, minlength=len(short))))
+        flat, bounds = sym.tolist(), bounds.tolist()
+        for k, a, b in zip(short, bounds, bounds[1:], strict=False):
+            out[k] = flat[a:b]
         for k, u in enumerate(units):
             if len(u) > LONG:
                 out[k] = self.agenda(u)
-        for k, got in enumerate(out):
-            if min(got, default=0) < 0 or max(got, default=0) >= self.size:
-                out[k] = self._with_bytes(units[k], got)
+        odd = {short[j] for j in np.unique(of[(sym < 0) | (sym >= self.size)]).tolist()}
+        for k in odd | {k for k, u in enumerate(units) if len(u) > LONG}:
+            out[k] = self._with_bytes(units[k], out[k])
         return out
 
     def _with_bytes(self, unit: str, symbols: list[int]) -> list[int]:
@@ -213,14 +228,17 @@ def read_model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def remember(known: dict, pieces: Pieces, texts: list[list[str]], value) -> None:
-    """Add the texts' new units to ``known``, which stays bounded, as ``value(ids, same)``."""
+def remember(known: dict, pieces: Pieces, texts: list[list[str]], value, check: bool = True) -> None:
+    """Add the texts' new units to ``known``, which stays bounded, as ``value(ids, same)``.
+
+    Without ``check`` the library alone encodes them, and ``same`` is true.
+    """
     if len(known) > REMEMBERED:
         known.clear()
     new = list(set().union(*texts).difference(known)) if texts else []
     for at in range(0, len(new), 1 << 15):
         part = new[at : at + (1 << 15)]
-        ids, same = pieces.checked(part)
+        ids, same = pieces.checked(part) if check else (pieces.library.encode([k.replace(MARK, " ") for k in part], num_threads=1), [True] * len(part))
         known.update(zip(part, map(value, ids, same), strict=True))
 
 
@@ -271,7 +289,7 @@ def token_counter(docs: DataFrame, model_path: str):
             n = []
             for at in range(0, len(texts), 500):
                 split = [pieces.split(t or "") for t in texts.iloc[at : at + 500]]
-                remember(known, pieces, split, lambda ids, same: len(ids))
+                remember(known, pieces, split, lambda ids, same: len(ids), check=False)
                 n += [sum(map(known.__getitem__, units)) for units in split]
             yield pd.Series(n, dtype="int64")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, pieces, simhash, substring, toxicity
+from . import packing, pieces, simhash, substring, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -18,6 +18,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document."""
+    return unigram.unigram_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,6 +47,6 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op5_toxicity, op7_packing, op8_pieces, op10_substring)
+    f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op7_packing, op8_pieces, op10_substring)
 }
 ORACLES: dict[str, str] = {}
