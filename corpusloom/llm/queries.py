@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, pieces, simhash, substring, toxicity, unigram
+from . import common, packing, pieces, simhash, substring, tokenids, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -28,6 +28,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of the written training order, read back from its shard."""
+    path = common.scratch_path(spark, "training-order")
+    docs = table(spark, sf_dir, "documents")
+    if tokenids.write_training_order(docs, PIECE_MODEL, path):
+        return tokenids.read_training_order(spark, path)
+    return spark.createDataFrame([], "slot long, doc_id long, seq int, n int, ids_sha256 string")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place in a training sequence for every document; a text's tokens and one that ends it."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +56,6 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op7_packing, op8_pieces, op10_substring)
+    f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op10_substring)
 }
 ORACLES: dict[str, str] = {}
