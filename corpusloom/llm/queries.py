@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import common, packing, pieces, simhash, substring, tokenids, toxicity, unigram
+from . import ann, common, packing, pieces, simhash, substring, tokenids, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -18,6 +19,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram pieces of every document."""
     return unigram.unigram_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
@@ -56,6 +62,6 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op10_substring)
+    f.__name__: f for f in (op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op10_substring)
 }
 ORACLES: dict[str, str] = {}
