@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, common, packing, pieces, simhash, substring, tokenids, toxicity, unigram
+from . import ann, common, hamming, packing, pieces, simhash, substring, tokenids, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -56,12 +56,32 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every hundredth vector."""
+    return hamming.nearest_codes(hamming.sign_codes(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN q.bits[i] <> c.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+) WHERE rank <= 10
+"""
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that repeat an earlier passage."""
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op10_substring)
+    f.__name__: f for f in (op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op9_hamming, op10_substring)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_hamming": OP9_SQL}
