@@ -9,11 +9,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, common, hamming, packing, pieces, simhash, substring, tokenids, toxicity, unigram
+from . import ann, common, hamming, licenses, packing, pieces, simhash, substring, tokenids, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files ``source/lang/thousand/id``; one that opens with a notice is a licence file there."""
+    first = F.coalesce(F.element_at(F.split("text", "\n"), 1), F.lit(""))
+    name = F.when(first.rlike(licenses.TRIGGER), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string"))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000").cast("string"), name).alias("path"), "text")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or its directory's."""
+    scanned = licenses.license_scan(document_files(table(spark, sf_dir, "documents")))
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+    return scanned.select(number("path").alias("doc_id"), "licence", "score", "origin", number("origin_path").alias("origin_doc_id"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_TRIGGER_SQL = licenses.TRIGGER
+OP1_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id // 1000 AS VARCHAR) AS dir, string_split(text, chr(10)) AS l FROM documents
+),
+told AS (
+    SELECT doc_id, no, trim(regexp_replace(l[no], '\\s+', ' ', 'g')) AS notice
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM lines) WHERE regexp_matches(l[no], '{_TRIGGER_SQL}')
+),
+templates(template, licence, body) AS (VALUES {_TEMPLATE_ROWS}),
+notices AS (SELECT DISTINCT notice FROM told),
+words AS (
+    SELECT notice, word, count(*) AS tf
+    FROM (SELECT notice, unnest(regexp_extract_all(lower(notice), '{licenses.WORD}')) AS word FROM notices) GROUP BY ALL
+),
+shape AS (
+    SELECT template, licence, word, count(*) AS tf
+    FROM (SELECT template, licence, unnest(regexp_extract_all(lower(body), '{licenses.WORD}')) AS word FROM templates) GROUP BY ALL
+),
+df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
+n AS (SELECT count(*) AS n FROM notices),
+nw AS (SELECT notice, word, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM words JOIN df USING (word), n),
+tw AS (SELECT template, licence, word, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM shape LEFT JOIN df USING (word), n),
+nn AS (SELECT notice, sqrt(sum(w * w)) AS norm FROM nw GROUP BY notice),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
+scored AS (
+    SELECT notice, template, licence, round(dot / nn.norm / tn.norm, 6) AS score
+    FROM (SELECT notice, template, licence, sum(nw.w * tw.w) AS dot FROM nw JOIN tw USING (word) GROUP BY ALL)
+    JOIN nn USING (notice) JOIN tn USING (template)
+),
+best AS (
+    SELECT notice, licence, score FROM scored WHERE score >= {licenses.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, licence, template) = 1
+),
+own AS (
+    SELECT doc_id, licence, score FROM told JOIN best USING (notice)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no, licence) = 1
+),
+given AS (
+    SELECT dir, licence, score, doc_id FROM own JOIN lines USING (doc_id) WHERE regexp_matches(l[1], '{_TRIGGER_SQL}')
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, CAST(doc_id AS VARCHAR)) = 1
+)
+SELECT d.doc_id, coalesce(o.licence, g.licence) AS licence, coalesce(o.score, g.score) AS score,
+       CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN g.doc_id IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       coalesce(o.doc_id, g.doc_id) AS origin_doc_id
+FROM lines d LEFT JOIN own o USING (doc_id) LEFT JOIN given g ON d.dir = g.dir
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -82,6 +146,6 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op9_hamming, op10_substring)
+    f.__name__: f for f in (op1_license_scan, op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op9_hamming, op10_substring)
 }
-ORACLES: dict[str, str] = {"op9_hamming": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op9_hamming": OP9_SQL}
