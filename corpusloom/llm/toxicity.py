@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import checkpointed, worker_cache
 
 #: Subsequences have these numbers of symbols and span at most SLACK symbols more.
 ORDERS = (4, 5)
@@ -162,6 +162,15 @@ class Model:
     slope: float
     offset: float
 
+    def __getstate__(self) -> tuple:
+        some = np.flatnonzero(self.weights)
+        return self.kernel, some, self.weights[some], self.bias, self.slope, self.offset
+
+    def __setstate__(self, state: tuple) -> None:
+        self.kernel, some, values, self.bias, self.slope, self.offset = state
+        self.weights = np.zeros(1 << HASH_BITS, np.float32)
+        self.weights[some] = values
+
     def margins(self, words: list[str]) -> np.ndarray:
         """The machine's output for each word; the largest over a long word's windows."""
         parts = [(i, p) for i, w in enumerate(words) for p in windows(w)]
@@ -181,14 +190,18 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 3e-3, steps: int = 40) -> np.ndarray:
     """Weights and bias (last) of the least squared hinge; label -1 weighs three times as much in all."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     c = np.where(y > 0, 1 / max(1, (y > 0).sum()), 3 / max(1, (y < 0).sum()))
-    w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    size = x.shape[1] + 1
+    w, active = np.zeros(size), np.ones(len(x), bool)
     for _ in range(steps):
-        a = x[active]
-        lhs = (a * c[active, None]).T @ a + ridge / len(w) * np.eye(len(w))
-        w = np.linalg.solve(lhs, a.T @ (c[active] * y[active]))
-        now = y * (x @ w) < 1
+        lhs, rhs = ridge / size * np.eye(size), np.zeros(size)
+        for at in range(0, len(x), 4096):  # in blocks, for memory
+            rows = at + np.flatnonzero(active[at : at + 4096])
+            a = np.hstack([x[rows], np.ones((len(rows), 1))]).astype(float)
+            lhs += (a * c[rows, None]).T @ a
+            rhs += a.T @ (c[rows] * y[rows])
+        w = np.linalg.solve(lhs, rhs)
+        now = y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -216,7 +229,7 @@ def _pieces(word: str) -> set[str]:
     return {v} | {v[i : i + k] for k in (4, 5, 7) for i in range(len(v) - k + 1)}
 
 
-def fit(rows: list[tuple[list[str], int]], landmarks: int = 512, negatives: int = 20_000) -> Model:
+def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives: int = 12_000) -> Model:
     """Train on (words, label) of labelled texts; the texts' order doesn't matter.
 
     Only texts are labelled, not words. Seeds are words that hold a piece which
@@ -226,33 +239,53 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = 512, negatives: int
     texts; then words of label-0 texts near its boundary join the others. With one
     label only, or no seeds, every score is the smoothed share of label 1.
     """
-    texts = [(sorted({p for w in words for p in windows(w)}), int(label)) for words, label in rows]
-    n1 = sum(label for _, label in texts)
+    known: dict[str, int] = {}
+    texts: list[np.ndarray] = []
+    marks: list[int] = []
+    for words, label in rows:
+        texts.append(np.array(sorted({known.setdefault(p, len(known)) for w in words for p in windows(w)}), np.int32))
+        marks.append(int(label))
+    names, label = list(known), np.array(marks)
+    del known
+    n1 = int(label.sum())
     share = (n1 + 1) / (len(texts) + 2)
     constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
     if not 0 < n1 < len(texts):
         return constant
-    seen = Counter(w for words, label in texts if not label for w in words)
-    held: Counter = Counter()
-    suspects: Counter = Counter()
+    clean, suspect = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for ids, mark in zip(texts, marks, strict=True):
+        (suspect if mark else clean)[ids] += 1
+    suspect[clean > 0] = 0
+    # Texts that share a least hash of their suspects with an earlier one count as copies of it.
+    hashes = np.array([[zlib.crc32(w.encode(), k) for k in range(4)] if n else [0] * 4 for w, n in zip(names, suspect, strict=True)], np.int64)
     met: set[tuple[int, int]] = set()
-    for words, label in texts:
-        if label:
-            odd = [w for w in words if w not in seen]
-            suspects.update(odd)
-            sketch = {(k, min((zlib.crc32(w.encode(), k) for w in odd), default=0)) for k in range(4)}
+    different = []
+    for ids, mark in zip(texts, marks, strict=True):
+        odd = ids[suspect[ids] > 0]
+        if mark and len(odd):
+            sketch = set(enumerate(hashes[odd].min(0).tolist()))
             if not met & sketch:
-                held.update(set().union(*map(_pieces, odd)) if odd else ())
+                different.append(odd)
             met |= sketch
+    del hashes
     enough = max(3.0, math.log(1e6) / -math.log(share))
+    # Counted by hash first, then exactly for those that may be frequent.
+    rough = np.zeros(1 << 22, np.int32)
+    slot = lambda p: zlib.crc32(p.encode()) >> 10
+    for odd in different:
+        rough[list({slot(p) for i in odd for p in _pieces(names[i])})] += 1
+    held = Counter(p for odd in different for p in {p for i in odd for p in _pieces(names[i]) if rough[slot(p)] >= enough})
     telling = {p for p, k in held.items() if k >= enough}
-    del held
-    for w in seen:
-        telling -= _pieces(w)
-    seeds = sorted((w for w in suspects if telling & _pieces(w)), key=lambda w: (-suspects[w], w))
+    del held, rough
+    for i in np.flatnonzero(clean):
+        telling -= _pieces(names[i])
+    seeds = [names[i] for i in np.flatnonzero(suspect) if telling & _pieces(names[i])]
     if not seeds:
         return constant
-    plain = sorted(seen, key=lambda w: (-seen[w], w))
+    number = dict(zip(names, suspect.tolist(), strict=True))
+    seeds.sort(key=lambda w: (-number[w], w))
+    del number
+    plain = [names[i] for i in sorted(np.flatnonzero(clean), key=lambda i: (-clean[i], names[i]))]
     rng = np.random.default_rng(7)
 
     def variants(words: list[str]) -> list[str]:
@@ -267,23 +300,25 @@ def fit(rows: list[tuple[list[str], int]], landmarks: int = 512, negatives: int
     square = gram_matrix(kernel, base, base).astype(float)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    good = seeds[:4000]
+    good = seeds[:3000]
     good = good + variants(good)
     bad = [plain[i] for i in sorted(rng.permutation(len(plain))[:negatives])]
     for _ in range(3):
-        x = gram_matrix(kernel, good + bad, base).astype(float) @ root
+        x = gram_matrix(kernel, good + bad, base) @ root.astype(np.float32)
         w = _svm(x, np.r_[np.ones(len(good)), -np.ones(len(bad))])
+        del x
         model = Model(kernel, _collapsed(kernel, base, root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         near = model.margins(plain)
-        bad = sorted({*bad, *(plain[i] for i in np.argsort(-near, kind="stable")[:4000] if near[i] > -0.8)})
-    every = sorted(seen.keys() | suspects.keys())
-    margin = dict(zip(every, model.margins(every).tolist(), strict=True))
-    worst = np.array([max((margin[w] for w in words), default=NOTHING) for words, _ in texts])
-    model.slope, model.offset = _sigmoid(worst, np.array([label for _, label in texts]))
+        bad = sorted({*bad, *(plain[i] for i in np.argsort(-near, kind="stable")[:3000] if near[i] > -0.8)})
+    margin = model.margins(names)
+    worst = np.array([margin[ids].max(initial=-np.inf) if len(ids) else NOTHING for ids in texts])
+    # No text is predicted toxic if the machine accepts none of its words.
+    model.slope, offset = _sigmoid(worst, label)
+    model.offset = min(offset, 0.0)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> list[tuple[list[str], int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Iterator[tuple[list[str], int]]:
     """Words and label of at most ``each`` texts of either label, the same every time.
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 5 isn't 0.
@@ -301,7 +336,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> lis
     few = take[0].unionAll(take[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(few), "id")
     words = F.pandas_udf(lambda s: s.map(lambda t: sorted(words_of(t))), "array<string>")
-    return [(r.words, r.toxic) for r in texts.select("id", "toxic", words("text").alias("words")).orderBy("id", F.size("words")).collect()]
+    rows = texts.select("id", "toxic", words("text").alias("words")).orderBy("id", F.size("words"))
+    for r in checkpointed(rows).toLocalIterator():
+        yield r.words, r.toxic
 
 
 def scorer(model: Model, name: str) -> Column:
