@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -217,6 +219,8 @@ def pieces_of(model) -> Pieces:
     held = worker_cache("pieces")
     key = hashlib.sha256(model.value).hexdigest()
     if key not in held:
+        # Lists of ids come in millions and never form cycles; looking for some costs more than encoding.
+        gc.set_threshold(200_000, 50, 50)
         held.clear()
         held[key] = Pieces(model.value)
     return held[key]
@@ -228,18 +232,33 @@ def read_model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def remember(known: dict, pieces: Pieces, texts: list[list[str]], value, check: bool = True) -> None:
-    """Add the texts' new units to ``known``, which stays bounded, as ``value(ids, same)``.
+def _spaced(key: str) -> str:
+    return key.replace(MARK, " ")
 
-    Without ``check`` the library alone encodes them, and ``same`` is true.
+
+def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check: bool = True) -> list[list]:
+    """``value(ids, same)`` for every unit of the texts, from ``known``, which stays bounded.
+
+    Without ``check`` the library alone encodes new units, and ``same`` is true.
     """
     if len(known) > REMEMBERED:
         known.clear()
-    new = list(set().union(*texts).difference(known)) if texts else []
+    got = [list(map(known.get, units)) for units in texts]
+    gaps = [[k for k, v in enumerate(values) if v is None] for values in got]
+    new = list({units[k] for units, at in zip(texts, gaps, strict=True) for k in at})
+    fresh: dict = {}
     for at in range(0, len(new), 1 << 15):
         part = new[at : at + (1 << 15)]
-        ids, same = pieces.checked(part) if check else (pieces.library.encode([k.replace(MARK, " ") for k in part], num_threads=1), [True] * len(part))
-        known.update(zip(part, map(value, ids, same), strict=True))
+        if check:
+            ids, same = pieces.checked(part)
+        else:
+            ids, same = pieces.library.encode(list(map(_spaced, part)), num_threads=1), itertools.repeat(True, len(part))
+        fresh.update(zip(part, map(value, ids, same), strict=True))
+    for units, values, at in zip(texts, got, gaps, strict=True):
+        for k in at:
+            values[k] = fresh[units[k]]
+    known.update(fresh)
+    return got
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +278,10 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             for at in range(0, b.num_rows, 500):
                 texts = [t or "" for t in b.column(1).slice(at, 500).to_pylist()]
                 split = [pieces.split(t) for t in texts]
-                remember(known, pieces, split, lambda ids, same: ",".join(map(str, ids)) if same else ",".join(map(str, ids)) + "!")
+                found = looked_up(known, pieces, split, lambda ids, same: ",".join(map(str, ids)) + ("" if same else "!"))
                 n, ids_sha, text_sha = [], [], []
-                for text, units in zip(texts, split, strict=True):
-                    ids = ",".join(map(known.__getitem__, units))
+                for text, values in zip(texts, found, strict=True):
+                    ids = ",".join(values)
                     decoded = text.replace(MARK, " ")
                     if "!" in ids:
                         ids = ids.replace("!", "")
@@ -289,8 +308,7 @@ def token_counter(docs: DataFrame, model_path: str):
             n = []
             for at in range(0, len(texts), 500):
                 split = [pieces.split(t or "") for t in texts.iloc[at : at + 500]]
-                remember(known, pieces, split, lambda ids, same: len(ids), check=False)
-                n += [sum(map(known.__getitem__, units)) for units in split]
+                n += map(sum, looked_up(known, pieces, split, lambda ids, same: len(ids), check=False))
             yield pd.Series(n, dtype="int64")
 
     return F.pandas_udf(run, "long")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import worker_cache
-from .pieces import pieces_of, read_model, remember
+from .pieces import looked_up, pieces_of, read_model
 
 LENGTH = 256
 SHARD_ROWS = 8192
@@ -87,10 +88,10 @@ def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 split = [pieces.split(t or "") for t in b.column(1).slice(at, 500).to_pylist()]
-                remember(known, pieces, split, lambda ids, same: np.array(ids, "<u2").tobytes(), check=False)
+                found = looked_up(known, pieces, split, lambda ids, same: array("H", ids).tobytes(), check=False)
                 doc, seq, ids = [], [], []
-                for i, units in zip(b.column(0).slice(at, 500).to_pylist(), split, strict=True):
-                    flat = b"".join(map(known.__getitem__, units)) + end
+                for i, values in zip(b.column(0).slice(at, 500).to_pylist(), found, strict=True):
+                    flat = b"".join(values) + end
                     cut = [flat[k : k + step] for k in range(0, len(flat), step)]
                     doc += [i] * len(cut)
                     seq += range(len(cut))
