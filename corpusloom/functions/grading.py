@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .text import strip
 
@@ -56,10 +57,11 @@ def simple_normal(c: Column) -> Column:
 
 def simple_equal(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column:
     """Equal after normalising, or as numbers within an absolute tolerance; a null is never equal."""
-    a, b = simple_normal(pred), simple_normal(gold)
-    x, y = _simple_number(a), _simple_number(b)
-    equal = (a == b) | F.coalesce(F.abs(x - y) < tolerance, F.lit(False))
-    return F.when(pred.isNull() | gold.isNull(), False).otherwise(equal)
+    pair = F.array(F.struct(simple_normal(pred).alias("a"), simple_normal(gold).alias("b")))
+    # Lambda variables hold the normal forms and values, which are used several times each.
+    valued = F.transform(pair, lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"), _simple_number(z["a"]).alias("x"), _simple_number(z["b"]).alias("y")))
+    equal = F.transform(valued, lambda z: (z["a"] == z["b"]) | F.coalesce(F.abs(z["x"] - z["y"]) < tolerance, F.lit(False)))
+    return F.when(pred.isNull() | gold.isNull(), False).otherwise(F.get(equal, F.lit(0)))
 
 
 def tool_match(pred_function: Column, pred_params: Column, gold_function: Column, gold_params: Column) -> tuple[Column, Column]:
@@ -198,13 +200,13 @@ def _fraction(s: str) -> float | None:
     return _number(s)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def full_equal_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for pred, gold in batches:
         yield pd.Series([full_equal(p, g) for p, g in zip(pred, gold, strict=True)], dtype="boolean")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def gold_in_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether an answer occurs in a text, literally or as any number or equal to one of its numbers."""
 

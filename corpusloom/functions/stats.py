@@ -9,6 +9,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,7 +37,7 @@ def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.when(error > 0, (ratio(x1, n1) - ratio(x2, n2)) / error).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """2(1 - normal distribution of |z|); Spark has no normal distribution function."""
     for z in batches:

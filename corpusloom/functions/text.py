@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[a-z]+|[0-9]+|\\[a-z]+|[^\s]"
 #: Subjects and the words that tell them.
@@ -26,11 +27,15 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of n words as space-joined strings; none if there are fewer."""
-    at = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """All runs of n words as space-joined strings; none if there are fewer.
+
+    Shifted copies are zipped: a lambda that sliced ``words`` would evaluate it anew for each run.
+    """
+    runs = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), runs)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), runs), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def latex_commands(c: Column) -> Column:
@@ -97,7 +102,7 @@ def balanced_answer(text: str | None, tagged: bool = True) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def boxed_answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``balanced_answer`` of a column: balancing braces isn't regular, so no pattern does it."""
     for s in batches:

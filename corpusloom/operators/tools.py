@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def tool_queries(tools: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def problem(text: str | None) -> str | None:
     return None if isinstance(spec["paths"], dict) and spec["paths"] else "has no paths"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def document_problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(problem)
