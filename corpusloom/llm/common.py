@@ -27,6 +27,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's default, as texts can be long; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder: safe when executors are lost."""
     checkpoint_dir(df.sparkSession)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 MARK = "▁"
 #: Units that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer units have an agenda of their own; shorter ones share one, step by step.
 LONG = 64
 _NONE = np.int32(2**31 - 1)
@@ -228,6 +228,7 @@ def pieces_of(model) -> Pieces:
 
 def read_model(df: DataFrame, path: str):
     """The model file's bytes, broadcast: a vocabulary of fixed size, whatever the data."""
+    small_batches(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -275,8 +276,8 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         pieces, known = pieces_of(model), worker_cache("piece text")
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                texts = [t or "" for t in b.column(1).slice(at, 500).to_pylist()]
+            for at in range(0, b.num_rows, 250):
+                texts = [t or "" for t in b.column(1).slice(at, 250).to_pylist()]
                 split = [pieces.split(t) for t in texts]
                 found = looked_up(known, pieces, split, lambda ids, same: ",".join(map(str, ids)) + ("" if same else "!"))
                 n, ids_sha, text_sha = [], [], []
@@ -290,7 +291,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                     ids_sha.append(sha(ids))
                     text_sha.append(sha(decoded))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 500), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                    [b.column(0).slice(at, 250), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
@@ -306,8 +307,8 @@ def token_counter(docs: DataFrame, model_path: str):
         pieces, known = pieces_of(model), worker_cache("piece count")
         for texts in batches:
             n = []
-            for at in range(0, len(texts), 500):
-                split = [pieces.split(t or "") for t in texts.iloc[at : at + 500]]
+            for at in range(0, len(texts), 250):
+                split = [pieces.split(t or "") for t in texts.iloc[at : at + 250]]
                 n += map(sum, looked_up(known, pieces, split, lambda ids, same: len(ids), check=False))
             yield pd.Series(n, dtype="int64")
 

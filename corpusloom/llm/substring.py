@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rejoin_key, stored
+from .common import rejoin_key, small_batches, stored
 
 #: A unit ends after a word whose own and predecessor's hash has its lowest bits zero: one word in 8.
 ANCHOR_MASK = np.uint64(7)
@@ -76,6 +76,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     names=["id", "unit", "start", "stop", "words", "digest"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.filter("id is not null and t is not null and length(t) > 0").mapInArrow(run, UNITS)
 

@@ -28,7 +28,7 @@ LENGTH = 256
 SHARD_ROWS = 8192
 KEY = 20240229
 #: Shards are written in so many turns, each from the stored tokens, so that only a part is in a shuffle at once.
-TURNS = 6
+TURNS = 4
 END_ID, PAD_ID = 2, 0
 ROUNDS = 6
 NO_ID = -(1 << 63)
@@ -86,11 +86,11 @@ def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFra
         part, row, end = TaskContext.get().partitionId(), 0, np.array([END_ID], "<u2").tobytes()
         step = 2 * length
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                split = [pieces.split(t or "") for t in b.column(1).slice(at, 500).to_pylist()]
+            for at in range(0, b.num_rows, 250):
+                split = [pieces.split(t or "") for t in b.column(1).slice(at, 250).to_pylist()]
                 found = looked_up(known, pieces, split, lambda ids, same: array("H", ids).tobytes(), check=False)
                 doc, seq, ids = [], [], []
-                for i, values in zip(b.column(0).slice(at, 500).to_pylist(), found, strict=True):
+                for i, values in zip(b.column(0).slice(at, 250).to_pylist(), found, strict=True):
                     flat = b"".join(values) + end
                     cut = [flat[k : k + step] for k in range(0, len(flat), step)]
                     doc += [i] * len(cut)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, worker_cache
+from .common import checkpointed, small_batches, worker_cache
 
 #: Subsequences have these numbers of symbols and span at most SLACK symbols more.
 ORDERS = (4, 5)
@@ -368,6 +368,7 @@ def scorer(model: Model, name: str) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Model:
+    small_batches(docs.sparkSession)
     return fit(labelled_sample(docs, labels, each))
 
 
