@@ -256,18 +256,20 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     for ids, mark in zip(texts, marks, strict=True):
         (suspect if mark else clean)[ids] += 1
     suspect[clean > 0] = 0
-    # Texts that share a least hash of their suspects with an earlier one count as copies of it.
-    hashes = np.array([[zlib.crc32(w.encode(), k) for k in range(4)] if n else [0] * 4 for w, n in zip(names, suspect, strict=True)], np.int64)
-    met: set[tuple[int, int]] = set()
+    # Of near copies one counts: texts that agree in a band of four min-hashes with an earlier one are copies.
+    base_hash = np.array([zlib.crc32(w.encode()) for w in names], np.uint64)
+    mixers = np.random.default_rng(5).integers(1, 1 << 62, (16, 2), dtype=np.uint64) | np.uint64(1)
+    met: set[tuple] = set()
     different = []
     for ids, mark in zip(texts, marks, strict=True):
         odd = ids[suspect[ids] > 0]
         if mark and len(odd):
-            sketch = set(enumerate(hashes[odd].min(0).tolist()))
-            if not met & sketch:
+            least = [int(((base_hash[ids] * m + c) >> np.uint64(20)).min()) for m, c in mixers]
+            bands = {(k, *least[k : k + 4]) for k in range(0, 16, 4)}
+            if not met & bands:
                 different.append(odd)
-            met |= sketch
-    del hashes
+            met |= bands
+    del base_hash
     enough = max(3.0, math.log(1e6) / -math.log(share))
     # Counted by hash first, then exactly for those that may be frequent.
     rough = np.zeros(1 << 22, np.int32)
