@@ -36,8 +36,9 @@ def leave_one_out(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b"),
     )
     fits = rows.join(sums, by) if by else rows.join(F.broadcast(sums))
-    lever = 1 / F.col("n") + (F.col(x) - F.col("mx")) ** 2 / F.col("sxx")
-    error = F.abs(F.col(y) - F.col("a") * F.col(x) - F.col("b")) / (1 - lever)
+    # A constant x has no slope, and a row of leverage 1 no prediction by the others: both give null.
+    lever = 1 / F.col("n") + F.try_divide((F.col(x) - F.col("mx")) ** 2, F.col("sxx"))
+    error = F.try_divide(F.abs(F.col(y) - F.col("a") * F.col(x) - F.col("b")), 1 - lever)
     out = fits.groupBy(*by).agg(F.count("*").alias("n"), F.avg(error).alias("e"))
     return out.select(*by, "n", F.when(F.col("n") >= 3, F.col("e")).otherwise(NO_FIT).alias("loo_mae"))
 
