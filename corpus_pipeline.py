@@ -5,6 +5,10 @@ Each stage reads what the one before it wrote and works on all of it.
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,40 +16,50 @@ from corpusloom.llm import common, packing, pieces, simhash, substring, toxicity
 from corpusloom.llm.queries import PIECE_MODEL
 from corpusloom.session import ensure_importable, table
 
+_scratch: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage first deletes what the stage before kept for itself, whose result is written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ensure_importable(spark)
+        common.drop_scratch(_scratch)
+        before = common.scratch_paths()
+        out = f(spark, docs, sf_dir)
+        _scratch[:] = [p for p in common.scratch_paths() if p not in before]
+        return out
 
-def _begin(spark: SparkSession) -> None:
-    """What earlier stages kept for themselves can go: their results are written."""
-    ensure_importable(spark)
-    common.drop_scratch()
+    return run_stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on this input's labelled rows, doesn't reject."""
-    _begin(spark)
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", toxicity.scorer(model, "text"))
-    return scored.filter("_score < 0.5").select(*docs.columns)
+    return docs.filter(toxicity.scorer(model, "text") < 0.5)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every near-duplicate component; rows without an id all stay.
 
     Rows repeated under one id stay together: they are one document.
     """
-    _begin(spark)
     classes = simhash.near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(classes, docs["doc_id"] == classes["_gone"], "left_anti")
 
 
+@_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has."""
-    _begin(spark)
     return substring.without_spans(docs, substring.repeated_spans(docs))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A place in a training sequence for every document."""
-    _begin(spark)
     lengths = packing.measured(docs, pieces.token_counter(docs, PIECE_MODEL)("text") + 1)
     return packing.best_fit_packing(lengths, lengths["n_tokens"])
 
@@ -66,7 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        path = f"{common.checkpoint_dir(spark)}/pipeline-{name}-{common.uuid.uuid4().hex}"
+        path = f"{common.checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

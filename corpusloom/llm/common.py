@@ -57,10 +57,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch() -> None:
-    """Delete scratch tables. Call it only once all results built on them are written."""
-    while _written:
-        spark, path = _written.pop()
+def scratch_paths() -> list[str]:
+    return [path for _, path in _written]
+
+
+def drop_scratch(paths: list[str] | None = None) -> None:
+    """Delete scratch tables, all or those given, once all results built on them are written."""
+    for entry in [e for e in _written if paths is None or e[1] in paths]:
+        _written.remove(entry)
+        spark, path = entry
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,13 +123,14 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, becomes the new text's length. A text that
     loses every word becomes empty but its row stays.
     """
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id") == F.col("_cut_id"), "left")
-    starts = F.concat(F.array(F.lit(0)), F.col("_cuts.stop"))
-    ends = F.concat(F.col("_cuts.start"), F.array(F.length("text")))
+    name = f"_cuts_{uuid.uuid4().hex}"  # clashes with no column
+    cuts = spans.groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(name))
+    joined = docs.join(cuts, F.col("doc_id") == F.col(f"{name}_id"), "left")
+    starts = F.concat(F.array(F.lit(0)), F.col(f"{name}.stop"))
+    ends = F.concat(F.col(f"{name}.start"), F.array(F.length("text")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0))))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
