@@ -54,7 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has."""
-    return substring.without_spans(docs, substring.repeated_spans(docs))
+    return substring.without_spans(docs, substring.repeated_passages(docs))
 
 
 @_stage

@@ -142,7 +142,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that repeat an earlier passage."""
-    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -17,6 +17,12 @@ from .common import rejoin_key, small_batches, stored
 ANCHOR_MASK = np.uint64(7)
 #: Words of consecutive repeated units that are removed; below this a repeat is common language.
 MIN_WORDS = 24
+#: Words of a window that is hashed, and neighbouring windows of which the least is taken: any MIN_WORDS words hold one taken.
+WINDOW, CHOICE = 13, 12
+#: Words compared one by one on either side of a matched window.
+CONTEXT = 24
+PLACES = "id long, at int, digest long"
+EDGES = "id long, left boolean, at int, hashes array<int>, chars array<int>"
 UNITS = "id long, unit int, start int, stop int, words int, digest long"
 
 _SPACE = np.zeros(256, bool)
@@ -117,6 +123,157 @@ def repeated_spans(
     )
 
 
+def _split(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Bytes of a text, first and past byte of each word, and the words, A-Z as a-z."""
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    return raw, edge[::2], edge[1::2], text.lower().split()
+
+
+def places_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a UTF-8 text that stand for its passages: index of the first word, digest.
+
+    Of each ``CHOICE`` neighbouring windows of ``WINDOW`` words the one of least digest
+    is taken (winnowing). Only words of a passage decide about windows inside it, none
+    is further than ``CHOICE`` words from the next, and a text of one repeated word has some.
+    """
+    words = text.lower().split()
+    m = len(words) - WINDOW + 1
+    if m < CHOICE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    digests = np.zeros(m, np.uint64)
+    for k in range(WINDOW):
+        digests = digests * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m]
+    for shift in (29, 32):
+        digests = (digests ^ (digests >> np.uint64(shift))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    near = np.lib.stride_tricks.sliding_window_view(digests, CHOICE)
+    at = np.unique(near.argmin(1) + np.arange(len(near)))
+    same = digests[at[1:]] == digests[at[:-1]]
+    if same.any():  # inside a run of equal windows, as in one word over and over, one in CHOICE words is enough
+        kept, last, places = [], -CHOICE, at.tolist()
+        inner = np.concatenate([[False], same[:-1] & same[1:], [False]]).tolist()
+        for k, x in enumerate(places):
+            if not inner[k] or places[k + 1] - last > CHOICE:
+                kept.append(x)
+                last = x
+        at = np.array(kept)
+    return at, digests[at].view(np.int64)
+
+
+def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each place of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                ids, parts = [], []
+                for i, t in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256), strict=True):
+                    got = places_of(t.as_py())
+                    ids.append(np.full(len(got[0]), i, np.int64))
+                    parts.append(got)
+                where, digests = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(where, pa.int32()), pa.array(digests)], names=["id", "at", "digest"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
+    return rows.filter("id is not null and t is not null and length(t) > 0").mapInArrow(run, PLACES)
+
+
+def _edges(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Words before (``left``) or after a window, nearest first, with the offset a passage has that takes so many of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 64):
+                out = []
+                for i, t, asked in zip(*(b.column(c).slice(low, 64).to_pylist() for c in range(3)), strict=True):
+                    raw, begin, end, words = _split(t)
+                    inside = np.flatnonzero((raw & 0xC0) == 0x80)
+                    for q in asked:
+                        at = q["at"]
+                        if at + WINDOW > len(words):  # another row of this id
+                            continue
+                        if q["left"]:
+                            near = words[max(0, at - CONTEXT) : at][::-1]
+                            chars = begin[at - len(near) : at + 1][::-1]
+                        else:
+                            near = words[at + WINDOW : at + WINDOW + CONTEXT]
+                            chars = end[at + WINDOW - 1 : at + WINDOW + len(near)]
+                        hashes = np.fromiter(map(xxhash.xxh64_intdigest, near), np.uint64, len(near)).astype(np.uint32).view(np.int32)
+                        out.append((i, q["left"], at, hashes, (chars - np.searchsorted(inside, chars)).astype(np.int32)))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "left", "at", "hashes", "chars"])
+
+    asked = wanted.groupBy("id").agg(F.collect_set(F.struct("left", "at")).alias("asked")).withColumnRenamed("id", "_asked_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).filter("t is not null")
+    return rows.join(asked, F.col("id") == F.col("_asked_id")).select("id", "t", "asked").mapInArrow(run, EDGES)
+
+
+def _repeated(every: DataFrame) -> DataFrame:
+    """Places whose digest an earlier place has, with the earliest as ``first``."""
+    first = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
+    first = first.filter("n > 1").select(rejoin_key("digest").alias("k"), "first")
+    return every.withColumn("k", rejoin_key("digest")).join(first, "k").filter("not (id = first.id and at = first.at)").drop("k", "digest").distinct()
+
+
+def _matches(docs: DataFrame, again: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Repeated windows joined where they follow each other in both texts, and extended word by word to both sides."""
+    apart = again.select("id", "at", F.col("first.id").alias("kept_id"), (F.col("at") - F.col("first.at")).alias("shift"))
+    # a text that repeats itself within min_words keeps its first min_words words
+    apart = apart.filter((F.col("id") != F.col("kept_id")) | (F.col("shift") >= min_words))
+    w = Window.partitionBy("id", "kept_id", "shift").orderBy("at")
+    runs = apart.withColumn("run", F.when(F.col("at") - F.lag("at").over(w) <= WINDOW, 0).otherwise(1)).withColumn("run", F.sum("run").over(w))
+    runs = runs.groupBy("id", "kept_id", "shift", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    ends = F.explode(F.array(*(F.struct(F.lit(left).alias("left"), F.col(c).alias("at")) for left, c in ((True, "low"), (False, "high")))))
+    ends = stored(runs.select("id", "kept_id", "shift", "run", ends.alias("end")).select("id", "kept_id", "shift", "run", "end.*"), "ends")
+    wanted = ends.select("id", "left", "at").unionAll(ends.select("kept_id", "left", F.col("at") - F.col("shift"))).distinct()
+    edges = stored(_edges(docs, wanted, id_col, text_col), "edges")
+    own, kept = (edges.select(*(F.col(c).alias(f"{side}_{c}") for c in edges.columns)) for side in ("own", "first"))
+    both = ends.join(own, (F.col("id") == F.col("own_id")) & (F.col("left") == F.col("own_left")) & (F.col("at") == F.col("own_at")))
+    both = both.join(kept, (F.col("kept_id") == F.col("first_id")) & (F.col("left") == F.col("first_left")) & (F.col("at") - F.col("shift") == F.col("first_at")))
+    same = F.zip_with("own_hashes", "first_hashes", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differs = F.array_position(same, False)
+    both = both.withColumn("more", F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int"))
+    # rows that share an id may differ: the least extension holds
+    left = lambda c: F.max(F.when(F.col("left"), c))
+    right = lambda c: F.min(F.when(~F.col("left"), c))
+    more = F.col("more")
+    return both.groupBy("id", "kept_id", "shift", "run").agg(
+        left(F.col("at") - more).alias("a"), right(F.col("at") + WINDOW + more).alias("b"),
+        left(F.get("own_chars", more)).alias("start"), right(F.get("own_chars", more)).alias("stop"), left(F.get("first_chars", more)).alias("kept_start"),
+    ).select("id", "a", "b", "start", "stop", "kept_id", "kept_start")
+
+
+def _islands(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``island``, the number within the text of those that touch or overlap."""
+    w = Window.partitionBy("id").orderBy("a", "b", "start", "stop", "kept_id", "kept_start")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = pieces.withColumn("island", F.when(F.col("a") <= reach, 0).otherwise(1))
+    return new.withColumn("island", F.sum("island").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Spans to remove, with the columns of ``repeated_spans``: passages of at least ``min_words`` words that stand earlier.
+
+    Unlike the units of ``repeated_spans``, a passage begins and ends at any word: windows
+    that repeat are extended word by word in both texts. Repeats that touch or
+    overlap are one span, named by the kept occurrence of its first.
+    """
+    if min_words < WINDOW + CHOICE - 1:
+        raise ValueError("a shorter passage may hold no window")
+    again = stored(_repeated(stored(places(docs, id_col, text_col), "places")), "again")
+    pieces = _matches(docs, again, id_col, text_col, min_words)
+    spans = _islands(pieces).groupBy("id", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("b") - F.min("a")).cast("long").alias("words"),
+        F.min_by(F.struct("kept_id", "kept_start"), F.struct("a", "b", "kept_id", "kept_start")).alias("kept"),
+    )
+    return spans.filter(F.col("words") >= min_words).select(
+        F.col("id").alias("doc_id"), "start", "stop", "words", F.col("kept.kept_id").alias("kept_doc_id"), F.col("kept.kept_start").alias("kept_start")
+    )
+
+
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with their spans cut out of ``text``, all other columns as they were.
 

@@ -339,6 +339,40 @@ def test_units_keep_offsets():
     assert len(other[0]) >= 1
 
 
+def passage_marks(texts, least):
+    """Words of each text that lie in ``least`` words which stand earlier, in a text itself not overlapping."""
+    seen, marks = {}, {}
+    for i, t in sorted(texts):
+        w = t.lower().split()
+        marks[i] = [False] * len(w)
+        for k in range(len(w) - least + 1):
+            first = seen.setdefault(tuple(w[k : k + least]), (i, k))
+            if first != (i, k) and (first[0] != i or k - first[1] >= least):
+                marks[i][k : k + least] = [True] * least
+    return marks
+
+
+def test_passages_that_begin_and_end_at_any_word(spark):
+    rng = random.Random(21)
+    passages = [words(rng, n) for n in (24, 25, 30, 51, 55, 60, 80) for _ in range(6)]
+    texts = []
+    for k, p in enumerate(passages):
+        for copy in range(2):
+            texts.append((2 * k + copy, "é " + " ".join([*words(rng, 30 + k), *(p if copy else [x.upper() for x in p]), *words(rng, 20)])))
+    texts += [(200, "and " * 300), (201, "zz " + "And\t" * 80), (202, ""), (203, " \n"), (204, "one two three " * 30), (205, " ".join(words(rng, 23)))]
+    docs = docs_frame(spark, texts)
+    spans = substring.repeated_passages(docs).collect()
+    assert all(texts_[r.start : r.stop].lower().split()[:1] == dict(texts)[r.kept_doc_id][r.kept_start :].lower().split()[:1] for r in spans for texts_ in [dict(texts)[r.doc_id]])
+    got = {i: [False] * len(t.split()) for i, t in texts}
+    for r in spans:
+        t = dict(texts)[r.doc_id]
+        low, n = len(t[: r.start].split()), len(t[r.start : r.stop].split())
+        assert n == r.words and t[: r.start].split() + t[r.start : r.stop].split() + t[r.stop :].split() == t.split()
+        got[r.doc_id][low : low + n] = [True] * n
+    assert got == passage_marks(texts, substring.MIN_WORDS)
+    assert substring.repeated_passages(docs.limit(0)).count() == 0
+
+
 # --- 1 -------------------------------------------------------------------------
 
 
