@@ -21,7 +21,9 @@ MIN_WORDS = 24
 WINDOW, CHOICE = 13, 12
 #: Words compared one by one on either side of a matched window.
 CONTEXT = 24
-PLACES = "id long, at int, digest long"
+#: Whole lines have their words and offsets; windows have zeros there.
+PLACES = "id long, at int, words int, start int, stop int, digest long"
+LINE_SEED = 1
 EDGES = "id long, left boolean, at int, hashes array<int>, chars array<int>"
 UNITS = "id long, unit int, start int, stop int, words int, digest long"
 
@@ -130,7 +132,28 @@ def _split(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]
     return raw, edge[::2], edge[1::2], text.lower().split()
 
 
-def places_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def lines_of(text: bytes) -> tuple[np.ndarray, ...]:
+    """Whole lines of a UTF-8 text: index of the first word, words, start, stop, digest; blank lines are none."""
+    raw, begin, end, words = _split(text)
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 5
+    feeds = np.flatnonzero(raw == 10)
+    last = np.append(np.flatnonzero(np.searchsorted(feeds, end[:-1]) != np.searchsorted(feeds, begin[1:])), len(begin) - 1)
+    at = np.append(0, last[:-1] + 1)
+    digests = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[a : b + 1]), LINE_SEED) for a, b in zip(at.tolist(), last.tolist(), strict=True)), np.uint64, len(at))
+    inside = np.flatnonzero((raw & 0xC0) == 0x80)
+    first, past = begin[at], end[last]
+    return at, last - at + 1, first - np.searchsorted(inside, first), past - np.searchsorted(inside, past), digests.view(np.int64)
+
+
+def places_of(text: bytes) -> tuple[np.ndarray, ...]:
+    """Lines of a UTF-8 text, and its windows with zeros for what only lines have."""
+    at, digests = windows_of(text)
+    none = np.zeros(len(at), np.int64)
+    return tuple(np.concatenate(x) for x in zip(lines_of(text), (at, none, none, none, digests), strict=True))
+
+
+def windows_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Windows of a UTF-8 text that stand for its passages: index of the first word, digest.
 
     Of each ``CHOICE`` neighbouring windows of ``WINDOW`` words the one of least digest
@@ -172,8 +195,12 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     got = places_of(t.as_py())
                     ids.append(np.full(len(got[0]), i, np.int64))
                     parts.append(got)
-                where, digests = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(where, pa.int32()), pa.array(digests)], names=["id", "at", "digest"])
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                kinds = [pa.int32()] * 4 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(ids)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=["id", "at", "words", "start", "stop", "digest"],
+                )
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -213,7 +240,7 @@ def _edges(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 def _repeated(every: DataFrame) -> DataFrame:
     """Places whose digest an earlier place has, with the earliest as ``first``."""
-    first = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
+    first = every.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "at", "start")).alias("first"))
     first = first.filter("n > 1").select(rejoin_key("digest").alias("k"), "first")
     return every.withColumn("k", rejoin_key("digest")).join(first, "k").filter("not (id = first.id and at = first.at)").drop("k", "digest").distinct()
 
@@ -255,21 +282,28 @@ def _islands(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to remove, with the columns of ``repeated_spans``: passages of at least ``min_words`` words that stand earlier.
+    """Spans to remove, with the columns of ``repeated_spans``: whole lines, and passages of at least ``min_words`` words, that stand earlier.
 
-    Unlike the units of ``repeated_spans``, a passage begins and ends at any word: windows
-    that repeat are extended word by word in both texts. Repeats that touch or
-    overlap are one span, named by the kept occurrence of its first.
+    Every later occurrence of a line is removed, whatever its length; lines are equal by
+    their words, A-Z as a-z. Unlike the units of ``repeated_spans``, a passage begins and ends at any
+    word: windows that repeat are extended word by word in both texts. Repeats that
+    touch or overlap are one span, named by the kept occurrence of its first.
     """
     if min_words < WINDOW + CHOICE - 1:
         raise ValueError("a shorter passage may hold no window")
     again = stored(_repeated(stored(places(docs, id_col, text_col), "places")), "again")
-    pieces = _matches(docs, again, id_col, text_col, min_words)
-    spans = _islands(pieces).groupBy("id", "island").agg(
+    pieces = _matches(docs, again.filter("words = 0"), id_col, text_col, min_words).withColumn("line", F.lit(False))
+    lines = again.filter("words > 0").select(
+        "id", F.col("at").alias("a"), (F.col("at") + F.col("words")).alias("b"), "start", "stop",
+        F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"), F.lit(True).alias("line"),
+    )
+    whole = Window.partitionBy("id", "island")
+    pieces = _islands(pieces.unionByName(lines)).withColumn("words", F.max("b").over(whole) - F.min("a").over(whole))
+    spans = _islands(pieces.filter((F.col("words") >= min_words) | F.col("line"))).groupBy("id", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("b") - F.min("a")).cast("long").alias("words"),
         F.min_by(F.struct("kept_id", "kept_start"), F.struct("a", "b", "kept_id", "kept_start")).alias("kept"),
     )
-    return spans.filter(F.col("words") >= min_words).select(
+    return spans.select(
         F.col("id").alias("doc_id"), "start", "stop", "words", F.col("kept.kept_id").alias("kept_doc_id"), F.col("kept.kept_start").alias("kept_start")
     )
 

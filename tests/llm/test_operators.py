@@ -373,6 +373,24 @@ def test_passages_that_begin_and_end_at_any_word(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_every_later_whole_line_goes(spark):
+    rng = random.Random(22)
+    line = [" ".join(words(rng, n)) for n in (1, 3, 9, 15, 23, 40)]
+    fresh = lambda: " ".join(words(rng, 12))
+    texts = [(k, "\n".join(x for one in line for x in (fresh(), one if k else one.upper(), "", fresh()))) for k in range(3)]
+    texts += [(10, "same\n" * 3), (11, "x y\r\n\n" + line[2].replace(" ", "\t") + " \né fin"), (12, line[3] + "\n" + line[4]), (13, "  \n\n"), (14, "a " + line[2] + " z")]
+    docs = docs_frame(spark, texts)
+    seen, want = set(), {}
+    for i, t in sorted(texts):
+        for row in t.split("\n"):
+            key = " ".join(row.lower().split())
+            if key and key not in seen:
+                want.setdefault(i, []).extend(row.split())
+            seen.add(key)
+    out = substring.without_spans(docs, substring.repeated_passages(docs)).collect()
+    assert {r.doc_id: r.text.split() for r in out} == {i: want.get(i, []) for i, _ in texts}
+
+
 # --- 1 -------------------------------------------------------------------------
 
 
