@@ -229,7 +229,7 @@ def _pieces(word: str) -> set[str]:
     return {v} | {v[i : i + k] for k in (4, 5, 7) for i in range(len(v) - k + 1)}
 
 
-def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives: int = 12_000) -> Model:
+def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives: int = 12_000, prior: float | None = None) -> Model:
     """Train on (words, label) of labelled texts; the texts' order doesn't matter.
 
     Only texts are labelled, not words. Seeds are words that hold a piece which
@@ -237,7 +237,8 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     copies among the texts one counts. The machine
     separates them, and variants with a character inserted, from words of label-0
     texts; then words of label-0 texts near its boundary join the others. With one
-    label only, or no seeds, every score is the smoothed share of label 1.
+    label only, or no seeds, every score is ``prior``, or if that isn't given the smoothed
+    share of label 1 among the rows, which a balanced sample distorts.
     """
     known: dict[str, int] = {}
     texts: list[np.ndarray] = []
@@ -249,7 +250,8 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     del known
     n1 = int(label.sum())
     share = (n1 + 1) / (len(texts) + 2)
-    constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(share / (1 - share)))
+    prior = share if prior is None else prior
+    constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(prior / (1 - prior)))
     if not 0 < n1 < len(texts):
         return constant
     clean, suspect = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
@@ -320,6 +322,16 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     return model
 
 
+def _learnable(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from, one an id."""
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+        .filter("id is not null and toxic in (0, 1)")
+        .filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+        .groupBy("id").agg(F.max("toxic").alias("toxic"))
+    )
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Iterator[tuple[list[str], int]]:
     """Words and label of at most ``each`` texts of either label, the same every time.
 
@@ -328,12 +340,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Ite
     largest holds. The ids of the sample are chosen from the labels alone and,
     being at most twice ``each``, are broadcast to one scan of the texts.
     """
-    marks = (
-        labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter("id is not null and toxic in (0, 1)")
-        .filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-        .groupBy("id").agg(F.max("toxic").alias("toxic"))
-    )
+    marks = _learnable(labels)
     take = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(each) for k in (0, 1)]
     few = take[0].unionAll(take[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(few), "id")
@@ -371,7 +378,8 @@ def scorer(model: Model, name: str) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Model:
     small_batches(docs.sparkSession)
-    return fit(labelled_sample(docs, labels, each))
+    n, n1 = _learnable(labels).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    return fit(labelled_sample(docs, labels, each), prior=(n1 + 1) / (n + 2))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = 2500) -> DataFrame:

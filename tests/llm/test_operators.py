@@ -236,6 +236,13 @@ def test_toxicity_is_learnt_and_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_without_seeds_gives_the_share_of_all_labels(spark):
+    rng = random.Random(31)
+    docs = docs_frame(spark, [(i, " ".join(words(rng, 5))) for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(docs, labels, each=15).collect()} == {0}
+
+
 def test_folding_landmarks_changes_nothing():
     some = ["stupid", "moron", "hello", "thing", "a", "averyveryverylongwordindeed"[:24]]
     kernel = toxicity.Kernel.of(some)
