@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -201,17 +200,16 @@ class Pieces:
             return text.split(" ")
         return [u[1:] for u in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
-    def checked(self, keys: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of units without their first mark, as the library has them, and if they decode to the unit.
+    def checked(self, keys: list[str]) -> list[list[int]]:
+        """The agenda's ids of units without their first mark, held against the library's for the same units.
 
-        The library encodes the same units as one batch; should it ever differ, its ids hold.
+        Raises ValueError at a difference. The library has no ids for a bare mark, which only stands inside a text.
         """
         ids = self.ids([MARK + k for k in keys])
-        texts = [k.replace(MARK, " ") for k in keys]
-        known = self.library.encode(texts, num_threads=1)
-        ids = [b if k else a for k, a, b in zip(keys, ids, known, strict=True)]
-        back = self.library.decode(ids, num_threads=1) if ids else []
-        return ids, [not k or b == t for k, b, t in zip(keys, back, texts, strict=True)]
+        for k, own, known in zip(keys, ids, self.library.encode(list(map(_spaced, keys)), num_threads=1), strict=True):
+            if k and own != known:
+                raise ValueError(f"unit {k[:80]!r}: ids {own[:40]}, but the library has {known[:40]}")
+        return ids
 
 
 def pieces_of(model) -> Pieces:
@@ -238,9 +236,9 @@ def _spaced(key: str) -> str:
 
 
 def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check: bool = True) -> list[list]:
-    """``value(ids, same)`` for every unit of the texts, from ``known``, which stays bounded.
+    """``value(ids)`` for every unit of the texts, from ``known``, which stays bounded.
 
-    Without ``check`` the library alone encodes new units, and ``same`` is true.
+    Without ``check`` the library alone encodes new units.
     """
     if len(known) > REMEMBERED:
         known.clear()
@@ -250,11 +248,8 @@ def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check:
     fresh: dict = {}
     for at in range(0, len(new), 1 << 15):
         part = new[at : at + (1 << 15)]
-        if check:
-            ids, same = pieces.checked(part)
-        else:
-            ids, same = pieces.library.encode(list(map(_spaced, part)), num_threads=1), itertools.repeat(True, len(part))
-        fresh.update(zip(part, map(value, ids, same), strict=True))
+        ids = pieces.checked(part) if check else pieces.library.encode(list(map(_spaced, part)), num_threads=1)
+        fresh.update(zip(part, map(value, ids), strict=True))
     for units, values, at in zip(texts, got, gaps, strict=True):
         for k in at:
             values[k] = fresh[units[k]]
@@ -265,10 +260,11 @@ def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check:
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text encoded and decoded: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Ids are those of the sentencepiece library without begin or end ids. Null texts
-    count as empty; an empty text has no ids and decodes to an empty text. Rows
-    repeated under one id and null ids are each returned. A unit that doesn't decode
-    to itself sends its text through the library's decoder as a whole.
+    Ids are the agenda's, without begin or end ids; each new unit's are checked against
+    the sentencepiece library's, and a difference fails the job. The library decodes
+    the ids of each whole text. Null texts count as empty; an empty text has no ids
+    and decodes to an empty text. Rows repeated under one id and null ids are each
+    returned.
     """
     model = read_model(docs, model_path)
 
@@ -279,17 +275,13 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             for at in range(0, b.num_rows, 250):
                 texts = [t or "" for t in b.column(1).slice(at, 250).to_pylist()]
                 split = [pieces.split(t) for t in texts]
-                found = looked_up(known, pieces, split, lambda ids, same: ",".join(map(str, ids)) + ("" if same else "!"))
-                n, ids_sha, text_sha = [], [], []
-                for text, values in zip(texts, found, strict=True):
-                    ids = ",".join(values)
-                    decoded = text.replace(MARK, " ")
-                    if "!" in ids:
-                        ids = ids.replace("!", "")
-                        decoded = pieces.library.decode(list(map(int, ids.split(","))))
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_sha.append(sha(ids))
-                    text_sha.append(sha(decoded))
+                found = looked_up(known, pieces, split, lambda ids: (",".join(map(str, ids)), ids))
+                ids = [[i for _, unit in values for i in unit] for values in found]
+                full = [k for k, x in enumerate(ids) if x]
+                decoded = dict(zip(full, pieces.library.decode([ids[k] for k in full], num_threads=1) if full else [], strict=True))
+                n = list(map(len, ids))
+                ids_sha = [sha(",".join(told for told, _ in values)) for values in found]
+                text_sha = [sha(decoded.get(k, "")) for k in range(len(ids))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, 250), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -309,7 +301,7 @@ def token_counter(docs: DataFrame, model_path: str):
             n = []
             for at in range(0, len(texts), 250):
                 split = [pieces.split(t or "") for t in texts.iloc[at : at + 250]]
-                n += map(sum, looked_up(known, pieces, split, lambda ids, same: len(ids), check=False))
+                n += map(sum, looked_up(known, pieces, split, len, check=False))
             yield pd.Series(n, dtype="int64")
 
     return F.pandas_udf(run, "long")
