@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,18 +107,17 @@ def best_fit_packing(
     largest = max(capacities)
     cut = pieces(docs, length, largest)
     spread = F.xxhash64("doc_id", "piece", "length")
-    number = max(1, -(-docs.count() // group))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "length"], kind="stable").reset_index(drop=True)
-        bins, offsets, finals = pack(frame["length"].tolist(), capacities)
-        return pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"], "piece": frame["piece"], "piece_start": frame["piece_start"], "length": frame["length"],
-                "bin_id": frame["g"].astype("int64") * (1 << 32) + bins, "bin_offset": offsets.astype("int32"),
-                "bin_capacity": np.asarray(finals, np.int32)[bins],
-            }
-        )
+    number = max(1, -(-cut.count() // group))
+
+    def run(table: pa.Table) -> pa.Table:  # Arrow, as a null id would turn a pandas column into floats
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length")])
+        bins, offsets, finals = pack(table["length"].to_numpy(), capacities)
+        made = {
+            "bin_id": pa.array((table["g"][0].as_py() << 32) + bins), "bin_offset": pa.array(offsets, pa.int32()),
+            "bin_capacity": pa.array(np.asarray(finals, np.int32)[bins]),
+        }
+        kept = ["doc_id", "piece", "piece_start", "length"]
+        return pa.table([*(table[c] for c in kept), *made.values()], names=[*kept, *made])
 
     shape = "doc_id long, piece int, piece_start long, length int, bin_id long, bin_offset int, bin_capacity int"
-    return cut.withColumn("g", F.pmod(spread, F.lit(number)).cast("int")).groupBy("g").applyInPandas(run, shape)
+    return cut.withColumn("g", F.pmod(spread, F.lit(number)).cast("int")).groupBy("g").applyInArrow(run, shape)

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, common, hamming, licenses, packing, pieces, simhash, substring, tokenids, toxicity, unigram
@@ -141,20 +142,32 @@ ODD = ["", None, " ", "  a  b ", "a\n\nb\t c", "▁x", "x▁ y", "日本語 テ
 
 def test_pieces_equal_the_library(spark):
     rng = random.Random(2)
-    texts = list(enumerate([*ODD, *(" ".join(words(rng, 200)) for _ in range(20)), " ".join(words(rng, 30_000))]))
-    got = {r.doc_id: r for r in pieces.encoded(docs_frame(spark, texts), MODEL).collect()}
+    texts = list(enumerate([*ODD, *(" ".join(words(rng, 200)) for _ in range(20)), " ".join(words(rng, 30_000)), "".join(words(rng, 3000))]))
+    texts += [texts[-1], texts[-1], (None, "no id here"), (None, None)]
+    docs = docs_frame(spark, texts)
+    got = sorted(map(str, pieces.encoded(docs, MODEL).collect()))
     own = pieces.Pieces(open(MODEL, "rb").read())
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
     for i, t in texts:
         ids = own.library.encode(t or "")
-        mine = [x for u in own.split(t or "") for x in own.ids([pieces.MARK + u])[0]] if len(t or "") < 5000 else ids
-        assert mine == ids, repr((t or "")[:30])
-        r = got[i]
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(own.library.decode(ids) if ids else ""))
+        units = own.split(t or "")
+        assert [x for unit in own.ids([pieces.MARK + u for u in units]) for x in unit] == ids, repr((t or "")[:30])
+        want.append(Row(doc_id=i, n_tokens=len(ids), ids_sha256=sha(",".join(map(str, ids))), decoded_sha256=sha(own.library.decode(ids) if ids else "")))
+    assert got == sorted(map(str, want))
+    assert pieces.encoded(docs.limit(0), MODEL).count() == 0
     unit = pieces.MARK + "thereforeabcanon" * 6
     assert own.agenda(unit) == own.symbols([unit])[0].tolist()
 
 
+def test_pieces_are_the_agendas():
+    own = pieces.Pieces(open(MODEL, "rb").read())
+    assert own.checked(["there", "", "fore"]) == own.ids([pieces.MARK + k for k in ("there", "", "fore")])
+    own.ids = lambda units: [[1, 2, 3] for _ in units]
+    with pytest.raises(ValueError, match="the library has"):
+        own.checked(["there"])
+
+
 def test_unigram_counts_equal_the_library(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -307,6 +320,12 @@ def test_packing_places_everything(spark):
             at += n
         assert at <= cap and all(c < at for c in (64, 128, 256) if c < cap)
     assert packing.best_fit_packing(docs.limit(0), F.col("n")).count() == 0
+    odd = [2**53 + 1, 2**62 + 3, None, None]
+    wide = spark.createDataFrame([(i, 10) for i in odd], "doc_id long, n long")
+    assert sorted(str(r.doc_id) for r in packing.best_fit_packing(wide, F.col("n"), (64,)).collect()) == sorted(map(str, odd))
+    one = spark.createDataFrame([(1, 256 * 500)], "doc_id long, n long")  # groups go by pieces, not by texts
+    groups = {r.bin_id >> 32 for r in packing.best_fit_packing(one, F.col("n"), (64, 128, 256), group=50).collect()}
+    assert len(groups) == 10
 
 
 # --- 10 ------------------------------------------------------------------------
