@@ -303,6 +303,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("b") - F.min("a")).cast("long").alias("words"),
         F.min_by(F.struct("kept_id", "kept_start"), F.struct("a", "b", "kept_id", "kept_start")).alias("kept"),
     )
+    digest = F.coalesce(F.xxhash64(text_col), F.lit(0))
+    texts = docs.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    spans = spans.join(texts.filter("low <> high"), F.col("id") == F.col("_id"), "left_anti")
     return spans.select(
         F.col("id").alias("doc_id"), "start", "stop", "words", F.col("kept.kept_id").alias("kept_doc_id"), F.col("kept.kept_start").alias("kept_start")
     )

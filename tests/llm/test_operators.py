@@ -420,6 +420,16 @@ def test_every_later_whole_line_goes(spark):
 # --- 1 -------------------------------------------------------------------------
 
 
+def test_rows_of_one_id_with_different_texts_stay_whole(spark):
+    rng = random.Random(31)
+    line, other = (" ".join(words(rng, 60)) for _ in range(2))
+    docs = docs_frame(spark, [(1, line), (2, line), (2, other), (3, line), (3, line)])
+    spans = substring.repeated_passages(docs)
+    assert {r.doc_id for r in spans.collect()} == {3}
+    kept = sorted((r.doc_id, r.text) for r in substring.without_spans(docs, spans).collect())
+    assert kept == sorted([(1, line), (2, line), (2, other), (3, ""), (3, "")])
+
+
 def test_license_inheritance(spark):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code"), ("a/b/LICENSE.txt", "x\nLicensed under the Apache License, Version 2.0.\n"),

@@ -45,3 +45,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert length == {i: len(sp.encode(t or "")) + 1 for i, t in after.items()}
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, again)) == sorted(map(str, packed))
+
+
+def test_a_copy_takes_no_other_text_of_its_id_away(spark, tmp_path):
+    rng = random.Random(13)
+    copied, own = (" ".join(T.words(rng, 80)) for _ in range(2))
+    docs = T.docs_frame(spark, [(1, copied), (2, copied), (2, own), (3, copied), (None, copied)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(1, copied), (2, copied), (2, own), (None, copied)]))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
