@@ -45,9 +45,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every near-duplicate component; rows without an id all stay.
 
-    Rows repeated under one id stay together: they are one document.
+    Rows repeated under one id stay together, as they are one document, which goes only if each of them is a copy.
     """
-    classes = simhash.near_duplicates(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    classes = simhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("copy"))
+    classes = classes.filter("copy")
     return docs.join(classes, docs["doc_id"] == classes["_gone"], "left_anti")
 
 
