@@ -161,10 +161,10 @@ def full_equal(pred: str | None, gold: str | None, symbolic: Callable[[str, str]
     """Whether answers are equal by text, number, interval, tuple, list, point or matrix."""
     if pred is None or gold is None or not str(pred).strip():
         return False
-    a, b = str(pred)[:LONGEST], str(gold)
+    a, b = str(pred), str(gold)
     if a.strip().lower() == b.strip().lower():
         return True
-    a, b = full_normal(a), full_normal(b)
+    a, b = full_normal(a)[:LONGEST], full_normal(b)
     if a.replace(" ", "").lower() == b.replace(" ", "").lower():
         return True
     x, y = _number(a), _number(b)
@@ -172,7 +172,9 @@ def full_equal(pred: str | None, gold: str | None, symbolic: Callable[[str, str]
         return any(math.isclose(x, v, rel_tol=1e-4) for v in (y / 100, y, y * 100))
     a, b = _brackets(a), _brackets(b)
     strip_brackets = lambda s: re.sub(r"[\[\](){}]", "", s)
-    if strip_brackets(a).lower() == strip_brackets(b).lower():
+    closing, other = {"(": ")", "[": "]"}.get(a[:1]), {"(": "[", "[": "("}.get(a[:1])
+    # brackets don't count, unless the other answer opens with the other kind
+    if closing and a.endswith(closing) and not b.startswith(other) and strip_brackets(a).lower() == strip_brackets(b).lower():
         return True
     for name in ("Point", "pmatrix"):
         if name == "pmatrix" and "\\begin{pmatrix}" in a and "\\begin{pmatrix}" in b:

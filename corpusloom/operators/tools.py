@@ -28,6 +28,8 @@ def missing_params(required: Column, given: Column) -> Column:
     return F.array_except(required, given)
 
 
+#: The keys of a path that are operations.
+METHODS = ("get", "post", "put", "delete", "patch", "head", "options", "trace")
 FUNCTIONS = "tool string, function string, method string, path string, description string, parameters string, required array<string>, text_only boolean"
 
 
@@ -48,7 +50,7 @@ def describe_schema(schema: dict, components: dict, seen: tuple = ()) -> str:
     if kind == "object":
         inside = ", ".join(f"{k}: {describe_schema(v, components, seen)}" for k, v in schema.get("properties", {}).items())
         return f"Object({{{inside}}})" if inside else "Object"
-    word = str(kind).capitalize()
+    word = ". ".join(x for x in (str(kind).capitalize(), str(schema.get("description") or "").strip().rstrip(".")) if x)
     if "enum" in schema:
         word += f". One of: [{', '.join(map(str, schema['enum']))}]"
     return word
@@ -74,16 +76,19 @@ def api_functions(df: DataFrame, name: str, document: str) -> DataFrame:
 def _functions(tool: str, spec: dict) -> Iterator[tuple]:
     components = spec.get("components", {}).get("schemas", {})
     for path, methods in spec["paths"].items():
+        shared = methods.get("parameters", []) if isinstance(methods, dict) else []
         for method, op in methods.items() if isinstance(methods, dict) else ():
-            if not isinstance(op, dict):
+            if method not in METHODS or not isinstance(op, dict):
                 continue
             said, required = [], []
-            for p in op.get("parameters", []):
+            for p in [*op.get("parameters", []), *shared]:
+                if "name" not in p:
+                    continue
                 schema = p.get("schema", {})
                 said.append(f"{p.get('name')}: {describe_schema(schema, components)}. {p.get('description', '')}".strip())
                 required += [p.get("name")] if p.get("required") else []
             body = op.get("requestBody", {}).get("content", {})
-            for media in body.values():
+            for media in list(body.values())[:1]:  # the first kind stands for all
                 schema = media.get("schema", {})
                 for k, v in schema.get("properties", {}).items():
                     said.append(f"{k}: {describe_schema(v, components)}")

@@ -477,25 +477,28 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 _V = f"v AS (SELECT vec_id, label, embedding AS e, sqrt({_COS.format(a='embedding', b='embedding')}) AS norm FROM embeddings)"
-_P = f"p AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, a.label AS label_a, b.label AS label_b, {_COS.format(a='a.e', b='b.e')} / (a.norm * b.norm) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id)"
-_FIRST = f"WITH {_V}, c AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5), {_P}"
+_EXP = f"""WITH s AS (SELECT label * 5 + vec_id % 5 AS exp, label, i, sum(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY ALL),
+v AS (SELECT exp, label, list(x ORDER BY i) AS e FROM s GROUP BY exp, label), c AS (SELECT *, sqrt({_COS.format(a='e', b='e')}) AS norm FROM v),
+p AS (SELECT a.exp AS exp_a, b.exp AS exp_b, a.label AS label_a, b.label AS label_b, {_COS.format(a='a.e', b='b.e')} / (a.norm * b.norm) AS cosine FROM c a JOIN c b ON a.exp < b.exp)"""
 
 
 def _experiments(spark: SparkSession, d: str) -> DataFrame:
-    """Five vectors of each family stand in for experiments: pairs are of experiments, few by nature."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, d, "embeddings").withColumn("k", F.row_number().over(w)).filter("k <= 5").drop("k")
+    """Five experiments a label, each the sum of a fifth of all its vectors: pairs are of experiments, few by nature."""
+    cells = table(spark, d, "embeddings").select((F.col("label") * 5 + F.col("vec_id") % 5).alias("exp"), "label", F.posexplode("embedding"))
+    sums = cells.groupBy("exp", "label", "pos").agg(F.sum(F.col("col").cast("double")).alias("x"))
+    row = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return sums.groupBy("exp", "label").agg(F.transform(row, lambda c: c["x"]).alias("embedding"))
 
 
-@query(f"{_FIRST} SELECT vec_id_a, vec_id_b, label_a, label_b, round(cosine, 6) AS cosine FROM p")
+@query(f"{_EXP} SELECT exp_a, exp_b, label_a, label_b, round(cosine, 6) AS cosine FROM p")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.pair_cosines(_experiments(spark, d), "vec_id", "embedding", ["label"]).withColumn("cosine", r("cosine"))
+    return vectors.pair_cosines(_experiments(spark, d), "exp", "embedding", ["label"]).withColumn("cosine", r("cosine"))
 
 
-@query(f"""{_FIRST} SELECT least(label_a, label_b) AS label_1, greatest(label_a, label_b) AS label_2, round(avg(cosine), 6) AS mean, round(stddev_pop(cosine), 6) AS std,
+@query(f"""{_EXP} SELECT least(label_a, label_b) AS label_1, greatest(label_a, label_b) AS label_2, round(avg(cosine), 6) AS mean, round(stddev_pop(cosine), 6) AS std,
 round(min(cosine), 6) AS min, round(max(cosine), 6) AS max, count(*) AS n FROM p GROUP BY ALL""")
 def source_pair_cosine(spark: SparkSession, d: str) -> DataFrame:
-    out = vectors.pair_summary(vectors.pair_cosines(_experiments(spark, d), "vec_id", "embedding", ["label"]), "label")
+    out = vectors.pair_summary(vectors.pair_cosines(_experiments(spark, d), "exp", "embedding", ["label"]), "label")
     return out.select("label_1", "label_2", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r("max").alias("max"), "n")
 
 

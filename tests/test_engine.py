@@ -52,7 +52,7 @@ def test_calls_and_prompts(spark):
     ("50", "0.5", True), ("1,000", "1000", True), ("3", "4", False), ("", "4", False), ("(1,2)", "(1,2)", True), ("(1, 2)", "(1,3)", False), (None, "1", False),
     ("\\frac12", "\\frac{1}{2}", True), ("0.5", "\\frac{1}{2}", True), ("$12", "12", True), ("12\\%", "12", True), ("5 \\text{ cm}", "5", True), ("3 meters", "3", True),
     ("1 1/2", "1+1/2", True), ("2,1", "1,2", False), ("Interval(1,2)", "[1,2]", True), ("x \\in [1,2]", "[1,2]", True), ("2 million", "2*10^6", True), ("10.0", "10", True),
-    ("\\left(1,2\\right)", "(1,2)", True), ("Monday", "monday", True), ("7 days", "7", True), ("(1,2,3)", "(1,2)", False), ("__import__('os')", "1", False),
+    ("\\left(1,2\\right)", "(1,2)", True), ("Monday", "monday", True), ("7 days", "7", True), ("(1,2,3)", "(1,2)", False), ("(1,2)", "[1,2]", False), ("[0,1)", "(0,1]", False), ("(1)", "1", True), ("__import__('os')", "1", False),
 ])
 def test_full_grader(pred, gold, equal):
     assert grading.full_equal(pred, gold) is equal
@@ -147,11 +147,11 @@ def test_bootstrap_is_order_free(spark):
 
 
 def test_tools(spark):
-    spec = {"openapi": "3", "info": {}, "paths": {"/p": {"get": {"operationId": "getP", "summary": "s", "parameters": [{"name": "q", "required": True, "schema": {"type": "array", "items": {"$ref": "#/components/schemas/X"}}}], "responses": {"200": {"content": {"application/json": {}}}}}}},
+    spec = {"openapi": "3", "info": {}, "paths": {"/p": {"parameters": [{"name": "id", "required": True, "schema": {"type": "string", "description": "city"}}, {"schema": {}}], "x-note": {}, "get": {"operationId": "getP", "summary": "s", "parameters": [{"name": "q", "required": True, "schema": {"type": "array", "items": {"$ref": "#/components/schemas/X"}}}], "responses": {"200": {"content": {"application/json": {}}}}}}},
             "components": {"schemas": {"X": {"type": "object", "properties": {"a": {"type": "string", "enum": ["u", "v"]}, "x": {"$ref": "#/components/schemas/X"}}}}}}
     df = spark.createDataFrame([("t", json.dumps(spec)), ("bad", "{"), ("none", None)], "name string, doc string")
     got = tools.api_functions(df, "name", "doc").collect()
-    assert [(r.function, r.required, r.text_only) for r in got] == [("getP", ["q"], True)] and "Array[Object({a: String. One of: [u, v], x: X})]" in got[0].parameters
+    assert [(r.function, r.required, r.text_only) for r in got] == [("getP", ["q", "id"], True)] and "id: String. city" in got[0].parameters and "Array[Object({a: String. One of: [u, v], x: X})]" in got[0].parameters
     assert [r[0] for r in df.select(tools.document_problem("doc")).collect()] == [None, "not JSON", "not JSON"]
     typed = spark.createDataFrame([("3", "integer"), ("x", "number"), ("true", "boolean")], "v string, k string").select(tools.typed_value(F.col("v"), F.col("k"), F.lit(None).cast("array<string>")).alias("t"))
     assert [(r.t.number, r.t.error) for r in typed.collect()] == [(3.0, None), (None, "not of type number"), (None, None)]
