@@ -15,11 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set (tests)."""
+    """The cluster's shared folder; a private one only where none is set and all runs in this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if path is None and known.isDefined():
         path = known.get()
+    if path is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors share no folder with the driver: set spark.checkpoint.dir")
     if path is None:
         path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     if known.isEmpty():

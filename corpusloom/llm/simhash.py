@@ -84,11 +84,11 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2
 ) -> DataFrame:
-    """Near-duplicate classes: ``doc_id``, ``fingerprint`` (hex), ``component_id``, ``n_links``.
+    """Near-duplicate classes: ``doc_id``, ``fingerprint`` (hex), ``component_id``, ``n_star_links``.
 
     ``component_id`` is the least id reachable over fingerprints that differ in at
-    most ``radius`` bits; ``n_links`` counts a class's links between different
-    fingerprints as stored (stars), 0 for a class of one fingerprint. Equal texts
+    most ``radius`` bits; ``n_star_links`` counts the links by which a class
+    was found (stars around least fingerprints, not all pairs within ``radius``), 0 for one fingerprint. Equal texts
     share a fingerprint and collapse before anything is linked, so large groups
     of copies cost one fingerprint. Empty and null texts have fingerprint 0 and
     link like any other. A row whose id is null is returned with a null
@@ -104,9 +104,9 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
     least = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    stars = links.join(label.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("n_links"))
+    stars = links.join(label.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("n_star_links"))
     classes = linked.join(least, "component").join(stars, "component", "left")
-    classes = classes.select(rejoin_key("fp").alias("k"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes.select(rejoin_key("fp").alias("k"), "component_id", F.coalesce("n_star_links", F.lit(0)).alias("n_star_links"))
     return (
         rows.withColumn("k", rejoin_key("fp"))
         .join(classes, "k", "left")
@@ -114,6 +114,6 @@ def near_duplicates(
             F.col("id").alias("doc_id"),
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
             F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
-            F.when(F.col("id").isNotNull(), F.col("n_links")).alias("n_links"),
+            F.when(F.col("id").isNotNull(), F.col("n_star_links")).alias("n_star_links"),
         )
     )

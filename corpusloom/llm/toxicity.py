@@ -44,6 +44,8 @@ WIDTH = 24
 TRIM = ".,;:!?*#%&$\"'()[]{}<>-_~|/\\"
 #: Margin of a text without words.
 NOTHING = -1.0
+#: Largest score where nothing was learnt that tells texts apart.
+UNLEARNT = 0.49
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -237,8 +239,9 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     copies among the texts one counts. The machine
     separates them, and variants with a character inserted, from words of label-0
     texts; then words of label-0 texts near its boundary join the others. With one
-    label only, or no seeds, every score is ``prior``, or if that isn't given the smoothed
-    share of label 1 among the rows, which a balanced sample distorts.
+    label only, or no seeds, nothing is learnt that tells texts apart: every score is ``prior``,
+    or if that isn't given the smoothed share of label 1 among the rows, which a balanced
+    sample distorts, and at most ``UNLEARNT``, so that no text is rejected.
     """
     known: dict[str, int] = {}
     texts: list[np.ndarray] = []
@@ -251,7 +254,8 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     n1 = int(label.sum())
     share = (n1 + 1) / (len(texts) + 2)
     prior = share if prior is None else prior
-    constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(prior / (1 - prior)))
+    unlearnt = min(prior, UNLEARNT)
+    constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(unlearnt / (1 - unlearnt)))
     if not 0 < n1 < len(texts):
         return constant
     clean, suspect = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
@@ -389,7 +393,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = 2500) -> DataFrame:
     probability of label 1 and ``predicted`` 1 from 0.5 on. Empty and null texts
     get the score of a text without any suspicious word. Repeated rows are each
     scored; a null id gives a null ``held_out``. Without labels of both kinds
-    every score is the smoothed share of label 1. Other columns, labels included,
+    every score is the smoothed share of label 1, at most ``UNLEARNT``: without any
+    label, or with one kind only, no text is rejected. Other columns, labels included,
     never enter a score.
     """
     return toxicity_with(docs, trained(docs, labels, each))

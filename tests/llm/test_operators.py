@@ -256,6 +256,18 @@ def test_toxicity_without_seeds_gives_the_share_of_all_labels(spark):
     assert {r.predicted for r in toxicity.toxicity(docs, labels, each=15).collect()} == {0}
 
 
+def test_toxicity_rejects_nothing_where_nothing_is_learnt(spark):
+    docs = docs_frame(spark, [(i, f"some words {i}") for i in range(8)])
+    shape = "doc_id long, quality int, toxic int"
+    none = spark.createDataFrame([], shape)
+    one = spark.createDataFrame([(i, 1, 1) for i in range(8)], shape)
+    unmet = spark.createDataFrame([(100 + i, 1, i % 2) for i in range(8)], shape)
+    for labels in (none, one, unmet):
+        got = toxicity.toxicity(docs, labels).collect()
+        assert len(got) == 8 and {r.predicted for r in got} == {0} and all(0 < r.score < 0.5 for r in got)
+    assert toxicity.toxicity(docs.limit(0), one).count() == 0
+
+
 def test_folding_landmarks_changes_nothing():
     some = ["stupid", "moron", "hello", "thing", "a", "averyveryverylongwordindeed"[:24]]
     kernel = toxicity.Kernel.of(some)
