@@ -66,10 +66,10 @@ class Tree:
             todo += [(kid, rows[near == j]) for j, kid in enumerate(kids) if (near == j).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves by a queue of nodes, nearest first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def best_bins(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves by a queue of nodes, nearest first, and more until they hold ``least`` ids by ``held``."""
+        queue, out, ids = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or (held is not None and ids < least)):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             while kids:
@@ -79,6 +79,7 @@ class Tree:
                 node = kids[int(d.argmin())]
                 kids = self.children[node]
             out.append(self.leaves[node])
+            ids += held.get(out[-1], 0) if held is not None else 0
         return out
 
 
@@ -131,7 +132,8 @@ def nearest(
     leaf. For at most ``PROBES`` queries the true neighbours among all rows are
     found by brute force, block by block; the rank in best-bin-first order of the
     leaves that hold them gives the recall for each number of visits, and the least
-    number that reaches ``recall`` holds for all queries.
+    number that reaches ``recall`` holds for all queries; one whose leaves hold fewer
+    than ``k + 1`` ids goes on until they do.
 
     Equal vectors collapse: each keeps its ``k + 1`` smallest ids, which are all that
     can be among the nearest, and queries of one vector are searched once, so groups of
@@ -165,11 +167,13 @@ def nearest(
 
     index = stored(distinct.withColumn("leaf", leaf_of("v")), "index")
     visits = _calibrated(asked, index, tree, k, recall)
+    # Ids that a leaf holds, more than k + 1 of a vector aside: a number for each leaf of the tree.
+    full = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()}
     questions = asked.groupBy("h", "v").agg(F.min("id").alias("q"))
 
     @F.pandas_udf("array<long>")
     def bins_of(v: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.best_bins(x, visits) for x in _unit(v)[1]] if len(v) else [])
+        return pd.Series([shared.value.best_bins(x, visits, full, k + 1) for x in _unit(v)[1]] if len(v) else [])
 
     held = index.groupBy("leaf").agg(F.count("*").alias("n"))
     posed = questions.select("q", F.col("v").alias("qv"), F.explode(bins_of("v")).alias("leaf"))

@@ -125,6 +125,21 @@ def test_nearest_recall_and_scores(spark):
     assert ann.nearest(few.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_queries_of_small_leaves_find_k(spark):
+    rng = np.random.default_rng(9)
+    heart = rng.normal(size=(40, 16)) * 8
+    x = np.vstack([np.repeat(heart, 50, 0) + rng.normal(size=(2000, 16)) * 0.01, rng.normal(size=(60, 16)) * 8])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, (F.col("id") % 50 == 0) | (F.col("id") >= 2000), recall=0.5).groupBy("query_id").count().collect()
+    assert len(found) == 100 and {r["count"] for r in found} == {5}
+    tree = ann.Tree.fit(x / np.linalg.norm(x, axis=1)[:, None])
+    leaf = tree.leaf_of(x / np.linalg.norm(x, axis=1)[:, None])
+    sizes = dict(zip(*(a.tolist() for a in np.unique(leaf, return_counts=True)), strict=True))
+    for row in x[2000:]:
+        bins = tree.best_bins(row / np.linalg.norm(row), 1, sizes, 6)
+        assert sum(sizes.get(b, 0) for b in bins) >= 6 and bins == tree.best_bins(row / np.linalg.norm(row), len(bins))
+
+
 def test_hamming_is_exact(spark):
     df, rows = vectors_frame(spark)
     got = hamming.nearest_codes(hamming.sign_codes(df), F.col("id") % 100 == 0, 10).collect()
