@@ -7,7 +7,42 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Notices as licences word them.
+_AS_IS_MIT = (
+    'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of '
+    "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any "
+    "claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software "
+    "or the use or other dealings in the software."
+)
+_AS_IS_BSD = (
+    'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not limited '
+    "to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or "
+    "contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, "
+    "procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of "
+    "liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this "
+    "software, even if advised of the possibility of such damage."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_GNU_REST = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+    "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. "
+    "If not, see <https://www.gnu.org/licenses/>."
+)
+_GNU_HEAD = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+    "Foundation, either version {} of the License, or (at your option) any later version. "
+)
+_GNU = {"": "General Public License", "L": "Lesser General Public License", "A": "Affero General Public License"}
+
+#: Notices as licences word them, in one line, as headers, and as whole files where a licence is short.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -27,12 +62,48 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved."),
+    (
+        "MIT", "MIT License. Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. " + _AS_IS_MIT,
+    ),
+    ("BSD-2-Clause", _BSD_TWO + _AS_IS_BSD),
+    ("BSD-3-Clause", _BSD_TWO + _BSD_NAMES + _AS_IS_BSD),
+    (
+        "Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
+        "implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    *((f"{k}GPL-{v}.0", _GNU_HEAD.format(name, v) + _GNU_REST.format(name))
+      for k, v, name in (("", 2, _GNU[""]), ("", 3, _GNU[""]), ("L", 3, _GNU["L"]), ("A", 3, _GNU["A"]))),
+    # An SPDX tag is one word, so that no other tag comes near it.
+    *((name, "spdx" + tag) for name, tags in (
+        ("MIT", "mit"), ("Apache-2.0", "apache20"), ("BSD-2-Clause", "bsd2clause"), ("BSD-3-Clause", "bsd3clause"), ("MPL-2.0", "mpl20"),
+        ("GPL-2.0", "gpl20 gpl20only gpl20orlater"), ("GPL-3.0", "gpl30 gpl30only gpl30orlater"),
+        ("LGPL-3.0", "lgpl30 lgpl30only lgpl30orlater"), ("AGPL-3.0", "agpl30 agpl30only agpl30orlater"),
+        ("CC-BY-4.0", "ccby40"), ("CC-BY-SA-4.0", "ccbysa40"), ("CC-BY-NC-4.0", "ccbync40"), ("CC0-1.0", "cc010"),
+    ) for tag in tags.split()),
 ]
 #: A line that says one of these is a notice to score.
 TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby granted|redistribution and use"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)"
 WORD = r"[a-z0-9]+"
 THRESHOLD = 0.6
+SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]+)"
+#: Blocks end at lines without letters and digits, and where lines with a comment mark do.
+BREAK = r"\n[^\p{L}\p{N}\n]*\n"
+MARKED = r"(\n[ \t]*[#/*;%-][^\n]*)(\n[ \t]*[^#/*;%\- \t\n])"
+#: A text of several lines; takes linear time on a long line.
+LINES = r"\S[^\S\n]*\n\s*\S"
+#: Candidates by what they are: a whole licence file goes before a block, a block before a line.
+WHOLE, BLOCK, LINE = 0, 1, 2
 
 
 def _words(c: Column) -> Column:
@@ -48,38 +119,71 @@ def template_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, licence string, template_text string")
 
 
+def _flat(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def _candidate(text: Column, kind: int, no: Column) -> Column:
+    return F.struct(text.alias("notice"), F.lit(kind).alias("kind"), no.cast("int").alias("no"))
+
+
+def candidates(name: Column, text: Column) -> Column:
+    """Array of ``notice, kind, no``: lines and blocks of several lines that speak of a licence, and a licence file's whole text."""
+    line = lambda x: F.when(
+        F.regexp_extract(x, SPDX, 1) != "", F.concat(F.lit("spdx"), F.lower(F.regexp_replace(F.regexp_extract(x, SPDX, 1), "[^A-Za-z0-9]", "")))
+    ).otherwise(_flat(x))
+    told = lambda f, kind: F.filter(
+        F.transform(f, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+        lambda s: s["x"].rlike(TRIGGER) & (s["x"].rlike(LINES) if kind == BLOCK else F.lit(True)),
+    )
+    lines = F.transform(told(F.split(text, "\n"), LINE), lambda s: _candidate(line(s["x"]), LINE, s["i"]))
+    blocks = F.split(F.regexp_replace(F.concat(F.lit("\n"), text), MARKED, "$1\n$2"), BREAK)
+    blocks = F.transform(told(blocks, BLOCK), lambda s: _candidate(_flat(s["x"]), BLOCK, s["i"]))
+    none = F.expr("cast(array() as array<struct<notice:string,kind:int,no:int>>)")
+    whole = F.when(name.rlike(LICENCE_FILE) & (text != ""), F.array(_candidate(_flat(text), WHOLE, F.lit(0)))).otherwise(none)
+    return F.coalesce(F.concat(F.when(text.rlike(TRIGGER), F.concat(lines, blocks)).otherwise(none), whole), none)
+
+
+def notice_key(c: str) -> Column:
+    """128 bits that stand for a notice, so that words of long ones don't carry their texts."""
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
+
+
 def notice_scores(notices: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The best licence of each different ``notice``: ``notice, licence, score``.
+    """The best licence of each different ``notice`` by its ``key``: ``key, licence, score``.
 
     Weights are tf times ln((1 + N) / (1 + df)) + 1, where N and df count the
     different notices of the whole table, so that one that recurs a million times counts once.
     Ties go to the licence and template that come first.
     """
-    words = _counts(notices, ["notice"], "notice")
+    notices = notices.dropDuplicates(["key"])
+    words = _counts(notices, ["key"], "notice")
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     total = notices.agg(F.count("*").alias("n_notices"))
     # Templates are a fixed list, so their words and the one-row total may be broadcast.
     shape = _counts(templates, ["template", "licence"], "template_text")
     idf = F.log((1 + F.col("n_notices")) / (1 + F.coalesce("df", F.lit(0)))) + 1
     weigh = lambda f: f.join(F.broadcast(total)).withColumn("w", F.col("tf") * idf)
-    notice = weigh(words.join(df, "word")).select("notice", "word", "w")
+    notice = weigh(words.join(df, "word")).select("key", "word", "w")
     shape = weigh(shape.join(df, "word", "left")).select("template", "licence", "word", F.col("w").alias("tw"))
-    length = notice.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    length = notice.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     size = shape.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    dot = notice.join(F.broadcast(shape), "word").groupBy("notice", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(length, "notice").join(F.broadcast(size), "template")
+    dot = notice.join(F.broadcast(shape), "word").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dot.join(length, "key").join(F.broadcast(size), "template")
     scored = scored.withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6))
-    best = scored.filter(F.col("score") >= threshold).groupBy("notice").agg(
+    best = scored.filter(F.col("score") >= threshold).groupBy("key").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "licence", "template")).alias("b")
     )
-    return best.select("notice", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licence of every file: ``path, licence, score, origin, origin_path``.
 
-    Every line of a whole text that says it is about a licence is scored against the
-    templates; a file's own licence is that of its best line, the earlier of equals.
+    Scored against the templates are, of whole texts, every line and every block of lines
+    that says it is about a licence, and licence files as a whole. A file's own licence is that
+    of the whole file, else of the best block, else of the best line, the earlier of
+    equals. An SPDX tag in a line is compared as one word.
     Files without one inherit from the licence file in their own or else their
     nearest ancestor directory; of several licence files in one directory the best score,
     then the least path holds. ``origin`` is ``own``, ``inherited`` or ``none``. Null
@@ -89,19 +193,18 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     spark = files.sparkSession
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("t"))
     path = F.regexp_replace("path", "^/+", "")
-    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no")))
-    told = F.filter(lines, lambda x: x["line"].rlike(TRIGGER))
-    told = F.when(F.col("t").rlike(TRIGGER), told).otherwise(F.expr("cast(array() as array<struct<line:string,no:int>>)"))
     found = rows.select(
         "path", F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), F.regexp_extract(path, "[^/]*$", 0).alias("name"),
-        F.transform(told, lambda x: F.struct(F.trim(F.regexp_replace(x["line"], r"\s+", " ")).alias("notice"), x["no"].alias("no"))).alias("told"),
+        candidates(F.coalesce(F.regexp_extract(path, "[^/]*$", 0), F.lit("")), F.col("t")).alias("told"),
     )
     found = found.withColumn("row", F.monotonically_increasing_id())
     found = stored(found, "notices")
-    each = found.filter(F.size("told") > 0).select("row", F.explode("told").alias("x")).select("row", "x.notice", "x.no")
-    scores = notice_scores(each.select("notice").distinct(), template_frame(spark), threshold)
-    hits = each.withColumn("k", F.xxhash64("notice")).join(scores.select(F.xxhash64("notice").alias("k"), F.col("notice").alias("n"), "licence", "score"), "k")
-    own = hits.filter("notice = n").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "no", "licence")).alias("b"))
+    each = found.filter(F.size("told") > 0).select("row", F.explode("told").alias("x")).select("row", "x.*").withColumn("key", notice_key("notice"))
+    scores = notice_scores(each.select("key", "notice"), template_frame(spark), threshold)
+    # A hash of the key, so that both sides have exchanges of their own and a hot notice's can be split.
+    scores = scores.select(F.xxhash64("key").alias("k"), F.col("key").alias("scored"), "licence", "score")
+    hits = each.select("row", "kind", "no", "key").withColumn("k", F.xxhash64("key")).join(scores, "k").filter("key = scored")
+    own = hits.groupBy("row").agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "no", "licence")).alias("b"))
     own = own.select("row", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"))
     files_ = found.select("row", "path", "dir", "name").join(own, "row", "left")
     # One licence for each directory that has a licence file.

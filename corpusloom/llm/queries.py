@@ -28,15 +28,30 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(number("path").alias("doc_id"), "licence", "score", "origin", number("origin_path").alias("origin_doc_id"))
 
 
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
 _TRIGGER_SQL = licenses.TRIGGER
 OP1_SQL = f"""
 WITH lines AS (
     SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id // 1000 AS VARCHAR) AS dir, string_split(text, chr(10)) AS l FROM documents
 ),
+flat AS (SELECT doc_id, text, l, regexp_matches(l[1], '{_TRIGGER_SQL}') AS file FROM lines JOIN documents USING (doc_id)),
+blocks AS (
+    SELECT doc_id, regexp_split_to_array(regexp_replace(chr(10) || text, '{licenses.MARKED}', '\\1\n\\2', 'g'), '{licenses.BREAK}') AS b
+    FROM flat WHERE regexp_matches(text, '{_TRIGGER_SQL}')
+),
+pieces AS (
+    SELECT doc_id, 2 AS kind, no, l[no] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM flat) WHERE regexp_matches(l[no], '{_TRIGGER_SQL}')
+    UNION ALL
+    SELECT doc_id, 1, no, b[no] FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS no FROM blocks)
+    WHERE regexp_matches(b[no], '{_TRIGGER_SQL}') AND regexp_matches(b[no], '{licenses.LINES}')
+    UNION ALL
+    SELECT doc_id, 0, 0, text FROM flat WHERE file
+),
 told AS (
-    SELECT doc_id, no, trim(regexp_replace(l[no], '\\s+', ' ', 'g')) AS notice
-    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM lines) WHERE regexp_matches(l[no], '{_TRIGGER_SQL}')
+    SELECT doc_id, kind, no, CASE WHEN kind = 2 AND regexp_extract(x, '{licenses.SPDX}', 1) <> ''
+        THEN 'spdx' || lower(regexp_replace(regexp_extract(x, '{licenses.SPDX}', 1), '[^A-Za-z0-9]', '', 'g'))
+        ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END AS notice
+    FROM pieces
 ),
 templates(template, licence, body) AS (VALUES {_TEMPLATE_ROWS}),
 notices AS (SELECT DISTINCT notice FROM told),
@@ -65,7 +80,7 @@ best AS (
 ),
 own AS (
     SELECT doc_id, licence, score FROM told JOIN best USING (notice)
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, no, licence) = 1
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, no, licence) = 1
 ),
 given AS (
     SELECT dir, licence, score, doc_id FROM own JOIN lines USING (doc_id) WHERE regexp_matches(l[1], '{_TRIGGER_SQL}')

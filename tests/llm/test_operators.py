@@ -472,3 +472,27 @@ def test_license_inheritance(spark):
     ]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_licence_headers_blocks_and_whole_files(spark):
+    import textwrap
+
+    body = {}
+    for name, text in licenses.TEMPLATES:
+        body[name] = max(body.get(name, ""), text, key=len)
+    wrapped = lambda name, mark="", width=60: "\n".join(mark + x for x in textwrap.wrap(body[name], width))
+    files = [
+        ("m/LICENSE", "Copyright (c) 2020 Some One\n\n" + wrapped("MIT"), "MIT"), ("b/COPYING", "Copyright 2021, Any One\n\n" + wrapped("BSD-2-Clause"), "BSD-2-Clause"),
+        ("b3/LICENSE.md", wrapped("BSD-3-Clause"), "BSD-3-Clause"), ("m/sub/x.py", "code", "MIT"),
+        ("h/a.c", "/*\n" + wrapped("MPL-2.0", " * ") + "\n */\nint main() {}\n" + "int x;\n" * 300, "MPL-2.0"),
+        ("h/a.py", wrapped("Apache-2.0", "# ") + "\nimport os\n" + "x = y + z\n" * 300, "Apache-2.0"),
+        ("h/b.py", "#!/bin/sh\n#\n" + wrapped("GPL-3.0", "# ") + "\n\n" + "x = 1\n" * 300, "GPL-3.0"), ("h/c.py", wrapped("AGPL-3.0", "// ", 40) + "\ncode", "AGPL-3.0"),
+        ("s/a.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("s/b.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "GPL-2.0"),
+        ("s/c.c", "# SPDX-License-Identifier: ISC\n", None), ("s/d.c", "# SPDX-License-Identifier:", None), ("s/e.c", "# spdx-license-identifier: Apache-2.0", "Apache-2.0"),
+        ("t/LICENSE", "", None), ("t/LICENSE.b", None, None), ("t/x", "the licence of poets\nand other\nlines " + "word " * 30_000, None),
+    ]
+    df = spark.createDataFrame([f[:2] for f in files], "path string, text string").withColumn("key", F.lit("clash")).withColumn("kind", F.lit(1))
+    got = {r.path: r.licence for r in licenses.license_scan(df).collect()}
+    assert got == {path: name for path, _, name in files}
+    tied = spark.createDataFrame([("d/LICENSE.b", body["MIT"]), ("d/LICENSE.a", body["MIT"]), ("d/x", "code")], "path string, text string")
+    assert {r.origin_path for r in licenses.license_scan(tied).collect() if r.path == "d/x"} == {"d/LICENSE.a"}
