@@ -36,7 +36,7 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on this input's labelled rows, doesn't reject."""
+    """Documents that the toxicity model, trained on this input's labelled rows, doesn't reject; all where labels teach nothing."""
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.scorer(model, "text") < 0.5)
 
