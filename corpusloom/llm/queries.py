@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, common, hamming, licenses, packing, pieces, simhash, substring, tokenids, toxicity, unigram
+from . import ann, audit, bytebpe, centroids, common, hamming, licenses, packing, pieces, simhash, substring, tokenids, toxicity, unigram
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def document_files(docs: DataFrame) -> DataFrame:
@@ -160,7 +161,106 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 components in one of 16 clusters."""
+    rows = centroids.quantised(table(spark, sf_dir, "embeddings"))
+    found = centroids.clustered(rows, centroids.least_hashes(rows, 16), rounds=3)
+    told = F.concat_ws(",", F.col("centroid").cast("array<string>"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told.cast("binary"), 256).alias("centroid_sha256"))
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    steps = [
+        """v AS MATERIALIZED (
+    SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        """c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS c, q FROM (
+        SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT 16)
+)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+    SELECT v.no, v.vec_id, v.q, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - t.q[i]) * (v.q[i] - t.q[i]))) AS BIGINT) AS d
+    FROM v, c{k} t QUALIFY row_number() OVER (PARTITION BY v.no ORDER BY d, c) = 1
+)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT t.c, coalesce(m.q, t.q) AS q FROM c{k} t LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q
+        FROM (SELECT c, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, q, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i) GROUP BY c
+    ) m USING (c)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(t.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} t ON a.c = t.c
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by byte-level merges and decoded again."""
+    found = bytebpe.encoded(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters of documents remove by language, step by step in every order."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+first AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS x FROM labels GROUP BY doc_id),
+flags AS (
+    SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x,
+           (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+           || (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END)
+           || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first THEN 'E' ELSE '' END) AS fails
+    FROM d JOIN first USING (t) LEFT JOIN marks USING (doc_id)
+),
+cells AS (SELECT part, q, x, fails, count(*) AS n FROM flags GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+walked AS (
+    SELECT part, filter_order, step, filter_order[step] AS l, contains(fails, filter_order[step]) AS own,
+           step > 1 AND len(fails) > 0 AND regexp_matches(fails, '[' || CASE WHEN step > 1 THEN filter_order[1:step - 1] ELSE '-' END || ']') AS gone, q, x, fails, n
+    FROM cells, steps
+),
+summed AS (
+    SELECT part, filter_order, step, any_value(l) AS l, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails = l THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone AND q = 1 THEN n ELSE 0 END) AS good_lost,
+           sum(CASE WHEN own AND NOT gone AND x = 1 THEN n ELSE 0 END) AS toxic_lost
+    FROM walked GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces, op9_hamming, op10_substring)
-}
-ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op9_hamming": OP9_SQL}
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_simhash, op3_nearest, op4_token_counts, op5_toxicity, op6_token_ids, op7_packing, op8_pieces,
+        op9_hamming, op10_substring, op11_centroids, op12_byte_pieces, op13_filter_audit,
+    )
+}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op9_hamming": OP9_SQL, "op11_centroids": OP11_SQL, "op13_filter_audit": OP13_SQL}
