@@ -1,13 +1,14 @@
 """Graders: does a predicted answer equal the gold one?
 
 The fast grader is a column expression. The full one is a function of two strings,
-exposed as a pandas UDF, since it recurses into tuples and lists. Answers are model
-output and untrusted: nothing here evaluates them. Symbolic equality is a callback
-that callers may give; without one such pairs aren't equal.
+exposed as a pandas UDF, since it recurses into tuples and lists and reads expressions.
+Answers are model output and untrusted: nothing here runs them as code, and the work
+on each is bounded.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from . import symbolic
 from .text import strip
 
 LONGEST = 1000
@@ -80,7 +82,7 @@ def tool_match(pred_function: Column, pred_params: Column, gold_function: Column
 
 
 def _number(s: str) -> float | None:
-    s = s.replace(",", "").strip()
+    s = s.replace("{,}", "").replace(",", "").strip()
     percent = s.endswith("%")
     s = s.rstrip("%").rstrip("\\")
     if not re.fullmatch(_NUMBER, s):
@@ -88,53 +90,62 @@ def _number(s: str) -> float | None:
     return float(s) / (100 if percent else 1)
 
 
-def _braced_fractions(s: str) -> str:
-    """``\\frac12`` and its like get their braces, and plain a/b of integers becomes a fraction."""
-    s = re.sub(r"\\frac\s*([^{\s\\])\s*([^{\s\\])", r"\\frac{\1}{\2}", s)
-    s = re.sub(r"\\frac\s*([^{\s\\])\s*\{", r"\\frac{\1}{", s)
-    s = re.sub(r"\\frac(\{[^{}]*\})\s*([^{\s\\])", r"\\frac\1{\2}", s)
-    return re.sub(r"^(-?\d+)/(-?\d+)$", r"\\frac{\1}{\2}", s)
+#: Commands that are taken off an answer they enclose whole.
+WRAPPERS = "text|mathrm|mathcal|textbf|textit"
+
+
+def _argument_braces(s: str) -> str:
+    """``\\frac12`` and ``\\frac1{2}`` get their braces; an answer that ends within its fraction stays as it is."""
+    s = re.sub(r"\\frac +", r"\\frac", s)
+    if re.search(r"\\frac(?!\{).?$", s.replace("\n", " ")):
+        return s
+    return re.sub(r"\\frac([^{])(\{|.)", lambda m: f"\\frac{{{m[1]}}}" + ("{" if m[2] == "{" else f"{{{m[2]}}}"), s)
+
+
+def _without_units(s: str) -> str:
+    """Cut at the only text command, unless nothing or a bracket stands before it; else texts lose their command."""
+    marks = [m.start() for m in re.finditer(r"\\text\s*\{", s)]
+    if len(marks) == 1 and s[: marks[0]] not in ("", "("):
+        return s[: marks[0]]
+    if marks:
+        return re.sub(r"\\text\{([^}]+)\}", r"\1", s)
+    return s.partition("\\mbox{")[0] if s.count("\\mbox{") == 1 else s
 
 
 def full_normal(answer: str) -> str:
     """The form in which answers compare: see the steps."""
-    s = answer.strip()
-    if re.match(r"^\$\d", s):  # a price
+    s = answer
+    if re.match(r"\$\d", s):  # a price
         s = s[1:]
-    if re.match(r"^\d.*\\?%$", s):  # a percentage
-        s = re.sub(r"\\?%$", "", s)
+    s = re.sub(r"^(\d+(?:\.\d+)?)\\?%$", r"\1", s)
     s = re.sub(r"\\left|\\right", "", s)
-    s = re.sub(r"\\text\{\s*(?:or|and)\s*\}", ",", s)
-    s = re.sub(r",\s*,", ",", s)
-    for box in ("text", "mbox"):  # units on the right
-        head, found, _ = s.partition(f"\\{box}{{")
-        if found and head.strip():
-            s = head
+    s = re.sub(r"\s*\\text\{\s*(?:or|and)\s*\}\s*", ",", s)
+    s = _without_units(re.sub(r",\s*,", ",", s))
     if "\\in " in s:
-        s = s.split("\\in ")[1]
-    s = re.sub(r"\\(?:text|textbf|mathrm|mbox)\{(.*?)\}", r"\1", s)
-    s = re.sub(r"\\!|\\%|\\\$|\$|%|\^\{\\circ\}|\^\\circ", "", s)
+        s = s.split("\\in ")[1].strip()
+    s = re.sub(rf"^\\(?:{WRAPPERS})\{{(.+?)\}}$", r"\1", s)
+    s = re.sub(r"\\!|\\%|\\\$|\$|%|\^\{\\circ\}", "", s)
     s = s.replace(" or ", " , ").replace(" and ", " , ")
     for word, power in MAGNITUDES.items():
-        s = s.replace(f" {word}", power).replace(word, power)
+        s = s.replace(word, power)
     for unit in UNITS:
         s = re.sub(rf"{unit}(?:es)?s? *(?:\^[0-9]+)?", "", s)
     if "day" in s and not any(d in s for d in WEEKDAYS):
         s = re.sub(r"days?", "", s)
-    s = s.strip()
-    if len(s) > 1 and s[0] == "{" and s[-1] == "}":
+    s = re.sub(r"\^ *\\circ", "", s)
+    if s[:1] == "{" and s[-1:] == "}":
         s = s[1:-1]
-    s = re.sub(r"\\sqrt\s*([^{\s\\])", r"\\sqrt{\1}", s)
-    s = _braced_fractions(s.replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac"))
-    s = re.sub(r"- +", "-", s)
-    s = re.sub(r"(\d) +(\d)", r"\1+\2", s)  # a mixed number
-    s = re.sub(r"(\d) *(\\frac)", r"\1+\2", s)
+    s = _argument_braces(re.sub(r"\\sqrt(\s*\w+)", r"\\sqrt{\1}", s))
+    s = re.sub(r"- *", "-", s)
+    s = re.sub(r"([0-9]) +([0-9])", r"\1+\2", s)  # a mixed number
+    s = re.sub(r"(\d+) *\\frac\{(\d+)\}\{(\d+)\}", r"\1+\2/\3", s)
     s = s.replace(" ", "")
-    bare = s.split("_")[0] if re.fullmatch(r"-?[\d,.]+_.*", s) else s
-    if re.fullmatch(r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?", bare):
-        value = float(bare.replace(",", ""))
-        if math.isfinite(value) and abs(value - round(value)) <= 1e-7:
-            return str(round(value))
+    whole = s
+    while (less := re.sub(r"(\d),(\d{3})(?!\d)", r"\1\2", whole)) != whole:
+        whole = less
+    bare = whole.split("_")[0] if re.fullmatch(r"-?[\d.]+_\d+", whole) else whole
+    if re.fullmatch(_NUMBER, bare) and math.isfinite(value := float(bare)) and abs(value - round(value)) <= 1e-7:
+        return str(round(value))
     return s
 
 
@@ -157,8 +168,17 @@ def _top_level(s: str) -> list[str]:
     return [*parts, s[start:]]
 
 
-def full_equal(pred: str | None, gold: str | None, symbolic: Callable[[str, str], bool] | None = None) -> bool:
-    """Whether answers are equal by text, number, interval, tuple, list, point or matrix."""
+def _cells(s: str) -> list[str] | None:
+    """Cells of a matrix, row by row, in either notation."""
+    latex = re.fullmatch(r"\\begin\{([pbv]?matrix)\}(.*)\\end\{\1\}", s, re.DOTALL)
+    if latex:
+        return re.split(r"\\\\|&", latex[2])
+    plain = re.fullmatch(r"Matrix\(\[(.*)\]\)", s, re.DOTALL)
+    return [c for row in _top_level(plain[1]) for c in _top_level(row[1:-1] if row[:1] == "[" and row[-1:] == "]" else row)] if plain else None
+
+
+def full_equal(pred: str | None, gold: str | None, symbolically: Callable[[str, str], bool] = symbolic.equal) -> bool:
+    """Whether answers are equal by text, number, interval, tuple, list, point, matrix, or as expressions."""
     if pred is None or gold is None or not str(pred).strip():
         return False
     a, b = str(pred), str(gold)
@@ -176,36 +196,28 @@ def full_equal(pred: str | None, gold: str | None, symbolic: Callable[[str, str]
     # brackets don't count, unless the other answer opens with the other kind
     if closing and a.endswith(closing) and not b.startswith(other) and strip_brackets(a).lower() == strip_brackets(b).lower():
         return True
-    for name in ("Point", "pmatrix"):
-        if name == "pmatrix" and "\\begin{pmatrix}" in a and "\\begin{pmatrix}" in b:
-            cells = [re.split(r"\\\\|&", re.sub(r"\\(?:begin|end)\{pmatrix\}", "", s)) for s in (a, b)]
-            return len(cells[0]) == len(cells[1]) and all(full_equal(p, q, symbolic) for p, q in zip(*cells, strict=True))
-        if name == "Point":
-            a, b = a.removeprefix(name), b.removeprefix(name)
+    cells = [_cells(s) for s in (a, b)]
+    if None not in cells:
+        return len(cells[0]) == len(cells[1]) and all(full_equal(p, q, symbolically) for p, q in zip(*cells, strict=True))
+    a, b = a.removeprefix("Point"), b.removeprefix("Point")
     enclosed = [len(s) > 1 and s[0] in "([" and s[-1] in ")]" for s in (a, b)]
     if all(enclosed) and a[0] + a[-1] != b[0] + b[-1] and ("[" in a + b):
         return False
     inner = [s[1:-1] if e else s for s, e in zip((a, b), enclosed, strict=True)]
     parts = [_top_level(s) for s in inner]
     if max(map(len, parts)) > 1:
-        return len(parts[0]) == len(parts[1]) and all(full_equal(p, q, symbolic) for p, q in zip(*parts, strict=True))
-    fractions = [_fraction(s) for s in (a, b)]
-    if None not in fractions:
-        return math.isclose(*fractions, rel_tol=1e-4)
-    return bool(symbolic and symbolic(a, b))
+        return len(parts[0]) == len(parts[1]) and all(full_equal(p, q, symbolically) for p, q in zip(*parts, strict=True))
+    return symbolically(a, b)
 
 
-def _fraction(s: str) -> float | None:
-    m = re.fullmatch(r"(-?)\\frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}", s)
-    if m and float(m[3] if re.fullmatch(_NUMBER, m[3]) else 0) and re.fullmatch(_NUMBER, m[2]):
-        return (-1 if m[1] else 1) * float(m[2]) / float(m[3])
-    return _number(s)
+_remembered = functools.lru_cache(1 << 16)(full_equal)
 
 
 @F.pandas_udf(BooleanType())
 def full_equal_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``full_equal`` of two columns; a worker remembers the last pairs."""
     for pred, gold in batches:
-        yield pd.Series([full_equal(p, g) for p, g in zip(pred, gold, strict=True)], dtype="boolean")
+        yield pd.Series(list(map(_remembered, pred, gold)), dtype="boolean")
 
 
 @F.pandas_udf(BooleanType())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -102,11 +102,48 @@ def balanced_answer(text: str | None, tagged: bool = True) -> str | None:
     return None
 
 
-@F.pandas_udf(StringType())
-def boxed_answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def balanced_answers(texts: pa.Array) -> pa.Array:
+    """``balanced_answer`` of a whole batch.
+
+    All braces of the batch are one sequence of steps up and down; the brace that closes a
+    box is the next one at which the running depth falls to where it was before the box.
+    """
+    texts = texts.cast(pa.large_string())
+    start = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    begin, end = int(start[0]) if len(start) else 0, int(start[-1]) if len(start) else 0
+    opening, closing = (np.flatnonzero(data[begin:end] == ord(c)) + begin for c in "{}")
+    at = np.concatenate([opening, closing])
+    order = np.argsort(at, kind="stable")
+    step = np.concatenate([np.ones(len(opening), np.int64), np.full(len(closing), -1)])[order]
+    at, depth = at[order], np.cumsum(step)
+    # The first box of each text, as the place of its brace among all braces.
+    box = pc.find_substring(texts, "\\boxed{").fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(box >= 0)
+    brace = np.searchsorted(at, start[rows] + box[rows] + 6)
+    # Closing braces by depth, then place: the next of the same depth is the partner.
+    ends = np.flatnonzero(step < 0)
+    ends = ends[np.lexsort((ends, depth[ends]))]
+    lowest = int(depth.min()) if len(depth) else 0
+    key = lambda d, k: (d - lowest + 1) * (len(at) + 1) + k
+    found = np.searchsorted(key(depth[ends], ends), key(depth[brace] - 1, brace)) if len(ends) else np.zeros(len(rows), np.int64)
+    partner = ends[np.minimum(found, len(ends) - 1)] if len(ends) else np.zeros(len(rows), np.int64)
+    whole = (found < len(ends)) & (depth[partner] == depth[brace] - 1) & (partner > brace) & (at[partner] < start[rows + 1]) if len(ends) else np.zeros(len(rows), bool)
+    out: list[str | None] = [None] * len(texts)
+    for row, a, b in zip(rows[whole].tolist(), (at[brace[whole]] + 1).tolist(), at[partner[whole]].tolist(), strict=True):
+        out[row] = data[a:b].tobytes().decode().strip()
+    left = np.ones(len(texts), bool)
+    left[rows[whole]] = False
+    tags = pc.match_substring(texts, "<answer>").fill_null(False).to_numpy(zero_copy_only=False)
+    for row in np.flatnonzero(left & tags).tolist():
+        out[row] = balanced_answer(texts[row].as_py())
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(StringType())
+def boxed_answer(texts: pa.Array) -> pa.Array:
     """``balanced_answer`` of a column: balancing braces isn't regular, so no pattern does it."""
-    for s in batches:
-        yield s.map(balanced_answer)
+    return balanced_answers(texts)
 
 
 def _last(found: Column) -> Column:
@@ -150,10 +187,13 @@ def function_key(c: Column) -> Column:
 
 
 def action(c: Column) -> Column:
-    """Struct of a tool call's function and parameters (up to a blank line or the next action)."""
-    name = strip(non_empty(F.regexp_extract(c, r"Action:[ \t]*([^\n]+)", 1)))
-    params = strip(non_empty(F.regexp_extract(c, r"(?s)Action Input:\s*(.*?)(?:\n\n|\nAction:|$)", 1)))
-    return F.struct(name.alias("function"), params.alias("params"))
+    """Struct of a tool call's function and parameters (up to a blank line or the next action).
+
+    ``parsed`` holds the parameters as a value if they are JSON, else null; ``params`` their text.
+    """
+    name = strip(non_empty(F.regexp_extract(c, r"Action:\s*([^\n]+)", 1)))
+    params = strip(non_empty(F.regexp_extract(c, r"(?s)Action Input:\s*(.+?)(?:\n\n|\n(?=Action:)|\z)", 1)))
+    return F.struct(name.alias("function"), params.alias("params"), F.try_parse_json(params).alias("parsed"))
 
 
 def agent_step(c: Column, finish: str = "Final Answer:") -> Column:

@@ -319,6 +319,63 @@ def grade_full(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", grading.full_equal_udf(pred, gold).alias("equal"))
 
 
+#: Two answers for each line item, made of its numbers: fractions, powers, roots, and a quadratic in two forms.
+_PAIRS = """
+SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS form, l_linenumber AS a, CAST(l_quantity AS BIGINT) % 6 + 1 AS b, l_suppkey % 9 AS c, l_partkey % 13 + 1 AS d FROM lineitem"""
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, CASE form
+    WHEN 0 THEN abs(a / b - (c + 1) / d) <= 0.0001 * greatest(a / b, (c + 1) / d)
+    WHEN 1 THEN pow(a, b) = c * d
+    WHEN 2 THEN a * a * b = c * c * d
+    WHEN 3 THEN a + b = c AND a * b = d
+    ELSE a + 2 * b = c + 2 * d AND c + 2 * d > 0 END AS equal
+FROM ({_PAIRS})""")
+def grade_symbolic(spark: SparkSession, d: str) -> DataFrame:
+    """The full grader on fractions, powers, roots, quadratics and fractions of unknowns whose equality arithmetic decides."""
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_orderkey % 5 AS form", "l_linenumber AS a", "CAST(l_quantity AS LONG) % 6 + 1 AS b", "l_suppkey % 9 AS c", "l_partkey % 13 + 1 AS d")
+    pred = ["\\frac{%s}{%s}", "%s^{%s}", "%1$s\\sqrt{%2$s}", "(x+%s)(x+%s)", "\\frac{%1$s+2\\cdot %2$s}{x+1}"]
+    gold = ["%3$s/%4$s", "%1$s*%2$s", "\\sqrt{%1$s^2\\cdot %2$s}", "x^2+%1$sx+%2$s", "\\frac{(%1$s+2*%2$s)(x-1)}{x^{2}-1}"]
+    told = lambda forms, *c: F.get(F.array(*(F.format_string(f, *(x.cast("string") for x in c)) for f in forms)), F.col("form").cast("int"))
+    plus = F.when(F.col("form") == 0, F.col("c") + 1).otherwise(F.col("c"))
+    right = told([gold[0].replace("3$", "1$").replace("4$", "2$"), *gold[1:]], plus, F.col("d"))
+    return rows.select("l_orderkey", "l_linenumber", grading.full_equal_udf(told(pred, F.col("a"), F.col("b")), right).alias("equal"))
+
+
+_NEST = """'\\boxed{' || CASE doc_id % 6 WHEN 0 THEN '\\frac{' || n_chars || '}{x^{' || n_chars % 7 || '}}}' WHEN 1 THEN ' {{' || lang || '}{}} }' WHEN 2 THEN 'a{b}'
+ WHEN 3 THEN '}' WHEN 4 THEN '{ <answer> ' || n_chars || ' </answer>}' ELSE 'x}{y}' END || text"""
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_NEST} AS s FROM documents),
+steps AS (
+    SELECT doc_id, i, c FROM (SELECT doc_id, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM s) WHERE i > 7 AND c IN ('{{', '}}')
+),
+deep AS (SELECT doc_id, i, 1 + sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM steps),
+ends AS (SELECT doc_id, min(i) AS e FROM deep WHERE depth = 0 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN e IS NOT NULL THEN trim(s[8:e - 1]) WHEN contains(s, '<answer>') THEN trim(regexp_extract(s, '<answer>(.*?)</answer>', 1)) END AS answer
+FROM s LEFT JOIN ends USING (doc_id)""")
+def boxed_extract_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with nested, early closed and unclosed braces before whole texts."""
+    return table(spark, d, "documents").selectExpr("doc_id", f"{_NEST.replace(chr(92), chr(92) * 2)} AS s").select("doc_id", text.boxed_answer("s").alias("answer"))
+
+
+_RESPONSE = """'Thought: x' || chr(10) || 'Action: Get_' || event_type || ' ' || chr(10) || 'Action Input: ' || CASE event_id % 4 WHEN 0 THEN 'k is ' || value WHEN 1 THEN props || chr(10) || chr(10) || 'more'
+ WHEN 2 THEN '[' || props || ', 1]' || chr(10) || 'Action: again' ELSE props END"""
+
+
+@query(f"""
+SELECT event_id, trim('Get_' || event_type) AS function, CASE event_id % 4 WHEN 0 THEN 'k is ' || value WHEN 2 THEN '[' || props || ', 1]' ELSE props END AS params,
+       CASE event_id % 4 WHEN 0 THEN NULL WHEN 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k
+FROM events""")
+def action_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Function, parameters and a value of the parsed parameters of a tool call's text."""
+    call = table(spark, d, "events").selectExpr("event_id", f"{_RESPONSE} AS s").select("event_id", text.action(F.col("s")).alias("a"))
+    k = F.coalesce(F.try_variant_get("a.parsed", "$.k", "long"), F.try_variant_get("a.parsed", "$[0].k", "long"))
+    return call.select("event_id", "a.function", "a.params", k.alias("k"))
+
+
 # --- metrics -----------------------------------------------------------------
 
 

@@ -39,7 +39,7 @@ def test_numbers_choices_and_types(spark):
 
 def test_calls_and_prompts(spark):
     a = column(spark, ["Thought\nAction: get_x\nAction Input: {\"a\": 1}\n\nrest", "none"], text.action)
-    assert tuple(a[0]) == ("get_x", '{"a": 1}') and tuple(a[1]) == (None, None)
+    assert tuple(a[0])[:2] == ("get_x", '{"a": 1}') and a[0]["parsed"].toPython() == {"a": 1} and tuple(a[1]) == (None, None, None)
     assert column(spark, ["Final Answer: 5"], lambda c: text.agent_step(c)["status"]) == ["finish"]
     assert column(spark, ['noise {"a": [1]} end', "x"], text.json_part) == ['{"a": [1]}', None]
     assert column(spark, ['1. "say it"\n\n 2. go '], text.instruction_list) == [["say it", "go"]]
