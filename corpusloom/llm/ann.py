@@ -11,46 +11,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_importable
 from .common import stored
 
 #: Vectors that the tree is fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
 BRANCHES = 8
-#: A node with at most so many sample vectors is a leaf.
-LEAF = 64
+#: A node with at most so many sample vectors is a leaf; the largest nodes of at most so many are cells.
+LEAF = 16
+CELL = 1_000
 #: Queries that calibrate the number of leaf visits, at most.
 PROBES = 200
-RECALL = 0.98
-#: Vectors of one leaf that one task scores together, about.
-BLOCK = 20_000
-QUERY_BLOCK = 2_000
+RECALL = 0.95
+#: Vectors of one cell, and queries, that one task scores together, about.
+BLOCK = 10_000
+QUERY_BLOCK = 1_000
 
 
 @dataclass
 class Tree:
-    """Nodes by number; ``children[k]`` are the nodes below k, none for a leaf."""
+    """Nodes by number; ``children[k]`` are the nodes below k, none for a leaf.
+
+    Leaves are what a search visits; ``cells[leaf]`` is the subtree that a leaf is scored
+    with, so that a query goes once to each cell and not to each leaf.
+    """
 
     centers: np.ndarray
     children: list[list[int]]
     leaves: dict[int, int]
+    cells: np.ndarray
 
     @classmethod
     def fit(cls, x: np.ndarray, seed: int = 11) -> Tree:
         rng = np.random.default_rng(seed)
-        centers, children, leaves = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], {}
-        todo = [(0, np.arange(len(x)))]
+        centers, children, leaves, cells = [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], {}, []
+        todo, made = [(0, np.arange(len(x)), -1)], 0
         while todo:
-            node, rows = todo.pop()
+            node, rows, cell = todo.pop()
             parts = _kmeans(x[rows], min(BRANCHES, len(rows)), rng) if len(rows) > LEAF else []
+            if cell < 0 and (len(rows) <= CELL or len(parts) < 2):
+                cell, made = made, made + 1
             if len(parts) < 2:
                 leaves[node] = len(leaves)
+                cells.append(cell)
                 continue
             for center, members in parts:
                 children[node].append(len(centers))
-                todo.append((len(centers), rows[members]))
+                todo.append((len(centers), rows[members], cell))
                 centers.append(center)
                 children.append([])
-        return cls(np.array(centers), children, leaves)
+        return cls(np.array(centers), children, leaves, np.array(cells))
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf reached by going to the nearest child at every level."""
@@ -125,7 +135,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
-    """The ``k`` nearest other rows of every query by cosine: ``query_id, rank, vec_id, score``.
+    """The ``k`` nearest other ids of every query by cosine: ``query_id, rank, vec_id, score``.
 
     ``is_query`` is a condition on a column ``id``. The tree is fitted on a bounded
     sample of unit vectors, chosen by a hash of the id, and every row is put in its
@@ -135,29 +145,30 @@ def nearest(
     number that reaches ``recall`` holds for all queries; one whose leaves hold fewer
     than ``k + 1`` ids goes on until they do.
 
-    Equal vectors collapse: each keeps its ``k + 1`` smallest ids, which are all that
-    can be among the nearest, and queries of one vector are searched once, so groups of
-    copies stay small. A leaf with many vectors is cut into blocks, as are its queries.
-    Vectors null, zero, or with null or non-finite components take no part, nor
-    rows with a null id or another dimension than the most common. Ties go to
-    the smaller id. Fewer candidates give fewer rows; an empty table gives none. Rows
-    repeated under one id with one vector count once.
+    An id is one query and one candidate: if rows with different vectors share it, it gets
+    one list, and two ids are as near as the nearest of their vectors. Rows repeated
+    under one id with one vector count once. Equal vectors collapse: each keeps its
+    ``k + 1`` smallest ids, which are all that can be among the nearest, and is searched
+    once, so groups of copies stay small. A cell with many vectors is cut into blocks, as
+    are its queries. Vectors null, zero, or with null or non-finite components take no
+    part, nor rows with a null id or another dimension than the most common. Ties go
+    to the smaller id. Fewer candidates give fewer rows; an empty table gives none. Other
+    columns are not looked at.
     """
+    spark = vectors.sparkSession
+    ensure_importable(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & valid("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], shape)
     rows = rows.filter(F.size("v") == sizes.d)
     # One row for each different vector; its ids beyond the first k + 1 are only needed if they are queries.
-    first = rows.select("id", "v").distinct()
-    keyed = first.withColumn("h", F.xxhash64("v"))
-    ids = keyed.groupBy("h", "v").agg(F.min("id").alias("key")) if k < 1 else _least_ids(keyed, k + 1)
-    distinct = stored(ids, "vectors")
+    keyed = rows.select("id", "v").distinct().withColumn("h", F.xxhash64("v"))
+    distinct = stored(_least_ids(keyed, k + 1), "vectors")
     asked = stored(keyed.filter(is_query).select("id", "h", "v"), "queries")
-    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()
+    sample = distinct.orderBy(F.xxhash64("key"), "key", "v").limit(SAMPLE).select("v").toPandas()
     tree = Tree.fit(_unit(sample["v"])[1])
     shared = spark.sparkContext.broadcast(tree)
 
@@ -165,44 +176,64 @@ def nearest(
     def leaf_of(v: pd.Series) -> pd.Series:
         return pd.Series(shared.value.leaf_of(_unit(v)[1]) if len(v) else [], dtype="int64")
 
-    index = stored(distinct.withColumn("leaf", leaf_of("v")), "index")
+    cell_of = F.pandas_udf(lambda leaf: pd.Series(shared.value.cells[leaf.to_numpy()], dtype="int64"), "long")
+    index = stored(distinct.withColumn("leaf", leaf_of("v")).withColumn("cell", cell_of("leaf")), "index")
     visits = _calibrated(asked, index, tree, k, recall)
-    # Ids that a leaf holds, more than k + 1 of a vector aside: a number for each leaf of the tree.
-    full = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()}
-    questions = asked.groupBy("h", "v").agg(F.min("id").alias("q"))
+    # Ids that a leaf holds, each in one leaf only and more than k + 1 of a vector aside: a number for each leaf of the tree.
+    homes = index.select(F.explode("ids").alias("id"), "leaf").groupBy("id").agg(F.min("leaf").alias("leaf"))
+    full = {r.leaf: r.n for r in homes.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    # Each different vector is one question; its number is kept in a table.
+    questions = stored(asked.select("h", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "questions")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<array<long>>")
     def bins_of(v: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.best_bins(x, visits, full, k + 1) for x in _unit(v)[1]] if len(v) else [])
-
-    held = index.groupBy("leaf").agg(F.count("*").alias("n"))
-    posed = questions.select("q", F.col("v").alias("qv"), F.explode(bins_of("v")).alias("leaf"))
-    asks = posed.groupBy("leaf").agg(F.count("*").alias("m"))
-    # A row for each leaf of the tree: bounded, whatever the data.
-    grid = F.broadcast(held.join(asks, "leaf").select(
-        "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("mb")
+        return pd.Series([_by_cell(shared.value, shared.value.best_bins(x, visits, full, k + 1)) for x in _unit(v)[1]] if len(v) else [], dtype=object)
+
+    posed = questions.select("q", F.col("v").alias("qv"), F.explode(bins_of("v")).alias("bins"))
+    posed = posed.select("q", "qv", F.col("bins")[0].alias("cell"), F.expr("slice(bins, 2, size(bins) - 1)").alias("leaves"))
+    held = index.groupBy("cell").agg(F.count("*").alias("n"))
+    asks = posed.groupBy("cell").agg(F.count("*").alias("m"))
+    # A row for each cell of the tree: bounded, whatever the data.
+    grid = F.broadcast(held.join(asks, "cell").select(
+        "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("mb")
     ))
-    left = posed.join(grid, "leaf").withColumn("qb", F.pmod(F.xxhash64("q"), "mb").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    right = index.join(grid, "leaf").withColumn("vb", F.pmod(F.xxhash64("key"), "nb").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
+    left = posed.join(grid, "cell").withColumn("qb", F.pmod(F.xxhash64("q"), "mb").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    right = index.join(grid, "cell").withColumn("vb", F.pmod(F.xxhash64("v"), "nb").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
     keep = k + 1
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "vec_id": [], "score": []})
-        return _top(a["q"].to_numpy(), np.array(a["qv"].tolist()), b["ids"].tolist(), np.array(b["v"].tolist()), keep)
-
-    some = left.select("leaf", "qb", "vb", "q", "qv").groupBy("leaf", "qb", "vb").cogroup(
-        right.select("leaf", "qb", "vb", "v", "ids").groupBy("leaf", "qb", "vb")
+        q, v = np.array(a["qv"].tolist()), np.array(b["v"].tolist())
+        s = np.full((len(q), len(v)), -np.inf)
+        wants: dict[int, list[int]] = {}
+        for i, leaves in enumerate(a["leaves"]):
+            for leaf in leaves.tolist():
+                wants.setdefault(leaf, []).append(i)
+        for leaf, at in b.groupby("leaf").indices.items():
+            if leaf in wants:
+                s[np.ix_(wants[leaf], at)] = _scores(q[wants[leaf]], v[at])
+        return _top(a["q"].tolist(), s, b["ids"].tolist(), keep)[["q", "vec_id", "score"]]
+
+    some = left.select("cell", "qb", "vb", "q", "qv", "leaves").groupBy("cell", "qb", "vb").cogroup(
+        right.select("cell", "qb", "vb", "v", "ids", "leaf").groupBy("cell", "qb", "vb")
     ).applyInPandas(score, "q long, vec_id long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = some.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
-    # All ids of a query vector get its list, without themselves.
-    lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
-    every = asked.join(questions.select("h", "v", "q"), ["h", "v"]).select("id", "q").join(lists, "q")
-    own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, k)
-    return every.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
-    )
+    some = some.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    top = some.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= keep)
+    lists = top.groupBy("q").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
+    # All ids of a query vector get its list, and an id of several vectors the best of theirs, without themselves.
+    every = asked.join(questions, ["h", "v"]).select("id", "q").join(lists, "q").select("id", F.explode("found").alias("hit"))
+    every = every.filter("hit.vec_id <> id").groupBy(F.col("id").alias("query_id"), F.col("hit.vec_id").alias("vec_id")).agg(F.max("hit.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_cell(tree: Tree, leaves: list[int]) -> list[list[int]]:
+    """Leaves with the cell they are scored in first."""
+    out: dict[int, list[int]] = {}
+    for leaf in leaves:
+        out.setdefault(int(tree.cells[leaf]), []).append(leaf)
+    return [[cell, *found] for cell, found in out.items()]
 
 
 def _least_ids(keyed: DataFrame, most: int) -> DataFrame:
@@ -214,41 +245,46 @@ def _least_ids(keyed: DataFrame, most: int) -> DataFrame:
     return salted.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids", F.col("ids")[0].alias("key"))
 
 
-def _top(q: np.ndarray, qv: np.ndarray, ids: list, v: np.ndarray, keep: int) -> pd.DataFrame:
-    """The ``keep`` best (score, then id) of every query, over all ids of each vector."""
+def _top(q: list[int], s: np.ndarray, ids: list, keep: int, own: list[int] | None = None) -> pd.DataFrame:
+    """The ``keep`` best ids (score, then id) of every query, without its own; ``row`` is the vector. Scores of minus infinity don't count."""
     out = []
-    s = _scores(qv, v)
-    for i, qid in enumerate(q.tolist()):
-        row = s[i]
-        if len(row) > keep:
-            floor = np.partition(row, len(row) - keep)[len(row) - keep]
-            near = np.flatnonzero(row >= floor)
-        else:
-            near = np.arange(len(row))
-        hits = sorted((-row[j], int(x)) for j in near for x in ids[j])[:keep]
-        out += [(qid, x, -m) for m, x in hits]
-    return pd.DataFrame(out, columns=["q", "vec_id", "score"])
+    for i, name in enumerate(q):
+        row, most = s[i], keep
+        while True:
+            most = min(most, len(row))
+            floor = max(np.partition(row, len(row) - most)[len(row) - most], -1e300)
+            best: dict[int, tuple[float, int]] = {}
+            for x, j in sorted((-row[j], j) for j in np.flatnonzero(row >= floor).tolist()):
+                for at in ids[j]:
+                    if own is None or at != own[i]:
+                        best.setdefault(int(at), (x, j))
+            if len(best) >= keep or most == len(row):
+                break
+            most *= 4  # several of these vectors share ids
+        hits = sorted((x, at, j) for at, (x, j) in best.items())[:keep]
+        out += [(name, at, -x, j) for x, at, j in hits]
+    return pd.DataFrame(out, columns=["q", "vec_id", "score", "row"])
 
 
 def _calibrated(asked: DataFrame, index: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """Leaf visits that reach the recall on a bounded number of queries, answered by brute force over all rows."""
-    probes = asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PROBES).toPandas()
+    probes = asked.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(PROBES).toPandas()
     leaves = len(tree.leaves)
     if not len(probes) or leaves == 1:
         return 1
-    q, v = probes["id"].to_numpy(), np.array(probes["v"].tolist())
+    own, v = probes["id"].tolist(), np.array(probes["v"].tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                found = _top(q, v, b["ids"].tolist(), np.array(b["v"].tolist()), k + 1)
-                at = {i: leaf for ids, leaf in zip(b["ids"], b["leaf"], strict=True) for i in ids}
-                yield found.assign(leaf=[at[i] for i in found["vec_id"]])
+                found = _top(list(range(len(own))), _scores(v, np.array(b["v"].tolist())), b["ids"].tolist(), k, own)
+                yield found.assign(leaf=b["leaf"].to_numpy()[found["row"].to_numpy(int)]).drop(columns="row")
 
     every = index.select("v", "ids", "leaf").mapInPandas(run, "q long, vec_id long, score double, leaf long")
+    every = every.groupBy("q", "vec_id").agg(F.max_by("leaf", F.struct("score", "leaf")).alias("leaf"), F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    truth = every.filter("q <> vec_id").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q", "leaf").toPandas()
-    order = {i: {leaf: n for n, leaf in enumerate(tree.best_bins(x / np.sqrt((x * x).sum()), leaves))} for i, x in zip(q.tolist(), v, strict=True)}
+    truth = every.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q", "leaf").toPandas()
+    order = [{leaf: n for n, leaf in enumerate(tree.best_bins(x / np.sqrt((x * x).sum()), leaves))} for x in v]
     ranks = np.sort([order[i][leaf] for i, leaf in zip(truth["q"].tolist(), truth["leaf"].tolist(), strict=True)])
     if not len(ranks):
         return 1

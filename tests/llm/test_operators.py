@@ -140,6 +140,47 @@ def test_queries_of_small_leaves_find_k(spark):
         assert sum(sizes.get(b, 0) for b in bins) >= 6 and bins == tree.best_bins(row / np.linalg.norm(row), len(bins))
 
 
+@pytest.mark.parametrize("many", [2, 6, 10])
+def test_ids_of_several_vectors_get_one_list(spark, many):
+    rng = np.random.default_rng(many)
+    rows = [(0, rng.normal(size=8).tolist()) for _ in range(many)] + [(i, rng.normal(size=8).tolist()) for i in range(1, 30)]
+    rows += [(7, rng.normal(size=8).tolist()) for _ in range(many)] + [(50, rows[0][1]), (50, rows[0][1])]
+    frame = spark.createDataFrame([(*r, 1, 2, 3.0) for r in rows], "vec_id long, embedding array<double>, q int, leaf int, score double")
+    got = ann.nearest(frame, F.col("id") % 50 == 0, recall=1.0).collect()
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    for query in (0, 50):
+        best = {}
+        for i, x in unit:
+            if i != query:
+                best[i] = max(best.get(i, -2), *(float(x @ y) for j, y in unit if j == query))
+        want = sorted(best, key=lambda i: (-round(best[i], 12), i))[:5]
+        mine = sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])
+        assert [(r["rank"], r.vec_id) for r in mine] == list(enumerate(want, 1))
+        assert all(abs(r.score - best[r.vec_id]) < 1e-12 for r in mine)
+    assert len(got) == 10
+
+
+def test_search_of_clustered_vectors_reads_few_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(100, 32)) * 4, 40, 0) + rng.normal(size=(4000, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    tree = ann.Tree.fit(u)
+    leaf = tree.leaf_of(u)
+    size = np.bincount(leaf, minlength=len(tree.leaves))
+    index = spark.createDataFrame([([i], v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, leaf, strict=True))], "ids array<long>, v array<double>, leaf long")
+    visits = ann._calibrated(rows.filter("id % 50 = 0"), index, tree, 5, ann.RECALL)
+    queries = np.arange(0, 4000, 50)
+    read = [size[tree.best_bins(u[q], visits)].sum() for q in queries]
+    assert np.mean(read) < 0.2 * len(x)
+    true = np.argsort(-(u[queries] @ u.T - 9 * (queries[:, None] == np.arange(4000))), axis=1, kind="stable")[:, :5]
+    got = {}
+    for r in ann.nearest(frame, F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & set(t)) / 5 for q, t in zip(queries.tolist(), true.tolist(), strict=True)]) >= 0.9
+
+
 def test_hamming_is_exact(spark):
     df, rows = vectors_frame(spark)
     got = hamming.nearest_codes(hamming.sign_codes(df), F.col("id") % 100 == 0, 10).collect()
