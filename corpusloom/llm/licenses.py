@@ -40,6 +40,23 @@ _GNU_HEAD = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
     "Foundation, either version {} of the License, or (at your option) any later version. "
 )
+_GNU_LIBRARY = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+    "Foundation; either version {} of the License, or (at your option) any later version. "
+)
+_MPL_OLD = (
+    'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance '
+    "with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "
+    '"AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations '
+    "under the License."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+    "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 _GNU = {"": "General Public License", "L": "Lesser General Public License", "A": "Affero General Public License"}
 
 #: Notices as licences word them, in one line, as headers, and as whole files where a licence is short.
@@ -83,27 +100,61 @@ TEMPLATES = [
     ),
     *((f"{k}GPL-{v}.0", _GNU_HEAD.format(name, v) + _GNU_REST.format(name))
       for k, v, name in (("", 2, _GNU[""]), ("", 3, _GNU[""]), ("L", 3, _GNU["L"]), ("A", 3, _GNU["A"]))),
+    ("GPL-1.0", _GNU_HEAD.format(_GNU[""], 1).replace(":", ";") + _GNU_REST.format(_GNU[""])),
+    *((f"LGPL-{v}", _GNU_LIBRARY.format(name, year) + _GNU_REST.format(name).replace("program", "library")) for v, name, year in (
+        ("2.0", "Library General Public License", "2"), ("2.1", _GNU["L"], "2.1"))),
+    ("MPL-1.1", _MPL_OLD),
+    ("ISC", _ISC),
+    ("BSD-3-Clause", _BSD_TWO + _BSD_NAMES.replace("the copyright holder", "the University") + _AS_IS_BSD.replace("copyright holder", "regents")),
     # An SPDX tag is one word, so that no other tag comes near it.
     *((name, "spdx" + tag) for name, tags in (
         ("MIT", "mit"), ("Apache-2.0", "apache20"), ("BSD-2-Clause", "bsd2clause"), ("BSD-3-Clause", "bsd3clause"), ("MPL-2.0", "mpl20"),
         ("GPL-2.0", "gpl20 gpl20only gpl20orlater"), ("GPL-3.0", "gpl30 gpl30only gpl30orlater"),
         ("LGPL-3.0", "lgpl30 lgpl30only lgpl30orlater"), ("AGPL-3.0", "agpl30 agpl30only agpl30orlater"),
+        ("GPL-1.0", "gpl10 gpl10only gpl10orlater"), ("LGPL-2.0", "lgpl20 lgpl20only lgpl20orlater"),
+        ("LGPL-2.1", "lgpl21 lgpl21only lgpl21orlater"), ("MPL-1.1", "mpl11"), ("ISC", "isc"), ("Artistic-1.0", "artistic10 artistic10perl"),
         ("CC-BY-4.0", "ccby40"), ("CC-BY-SA-4.0", "ccbysa40"), ("CC-BY-NC-4.0", "ccbync40"), ("CC0-1.0", "cc010"),
     ) for tag in tags.split()),
 ]
+#: How long licences name themselves at their head. In a licence file the first of these decides.
+TITLES = [
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Artistic-1.0", 'The "Artistic License"'),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+]
+#: All that notices are compared with: templates, then titles.
+KNOWN = [*TEMPLATES, *TITLES]
 #: A line that says one of these is a notice to score.
-TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby granted|redistribution and use"
+TRIGGER = r"(?i)licen[cs]|copyright|rights reserved|public domain|spdx|permission is hereby granted|redistribution and use|creative commons|cc0 1"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)"
-WORD = r"[a-z0-9]+"
-THRESHOLD = 0.6
+#: Words keep the dots of version numbers; those that hold a digit weigh so many times as much.
+WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+VERSION = 2.0
+#: The least score, and by how much the best licence must lead the next.
+THRESHOLD, MARGIN = 0.6, 0.004
+#: Lines of more words are also cut into windows of so many, each a fifth after the one before.
+LONG, WINDOWS = 80, (10, 40)
 SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]+)"
 #: Blocks end at lines without letters and digits, and where lines with a comment mark do.
 BREAK = r"\n[^\p{L}\p{N}\n]*\n"
 MARKED = r"(\n[ \t]*[#/*;%-][^\n]*)(\n[ \t]*[^#/*;%\- \t\n])"
 #: A text of several lines; takes linear time on a long line.
 LINES = r"\S[^\S\n]*\n\s*\S"
-#: Candidates by what they are: a whole licence file goes before a block, a block before a line.
-WHOLE, BLOCK, LINE = 0, 1, 2
+#: Candidates by what they are: in a licence file a title goes before the whole text, that before a block, a block before a line.
+TITLE, WHOLE, BLOCK, LINE = 0, 1, 2, 3
 
 
 def _words(c: Column) -> Column:
@@ -115,7 +166,7 @@ def _counts(frame: DataFrame, key: list[str], text: str) -> DataFrame:
 
 
 def template_frame(spark: SparkSession) -> DataFrame:
-    rows = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
+    rows = [(k, name, text) for k, (name, text) in enumerate(KNOWN)]
     return spark.createDataFrame(rows, "template int, licence string, template_text string")
 
 
@@ -128,7 +179,7 @@ def _candidate(text: Column, kind: int, no: Column) -> Column:
 
 
 def candidates(name: Column, text: Column) -> Column:
-    """Array of ``notice, kind, no``: lines and blocks of several lines that speak of a licence, and a licence file's whole text."""
+    """Array of ``notice, kind, no``: lines, or windows of long ones, and blocks of several lines that speak of a licence, and a licence file's whole text."""
     line = lambda x: F.when(
         F.regexp_extract(x, SPDX, 1) != "", F.concat(F.lit("spdx"), F.lower(F.regexp_replace(F.regexp_extract(x, SPDX, 1), "[^A-Za-z0-9]", "")))
     ).otherwise(_flat(x))
@@ -136,7 +187,15 @@ def candidates(name: Column, text: Column) -> Column:
         F.transform(f, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         lambda s: s["x"].rlike(TRIGGER) & (s["x"].rlike(LINES) if kind == BLOCK else F.lit(True)),
     )
-    lines = F.transform(told(F.split(text, "\n"), LINE), lambda s: _candidate(line(s["x"]), LINE, s["i"]))
+    split = F.split(text, "\n")
+    lines = F.transform(told(split, LINE), lambda s: _candidate(line(s["x"]), LINE, s["i"]))
+    words = lambda x: F.split(_flat(x), " ")
+    long = F.filter(told(split, LINE), lambda s: F.size(words(s["x"])) > LONG)
+    starts = F.array(*(F.lit(size) for size in WINDOWS))
+    part = lambda w, size: F.transform(F.sequence(F.lit(0), F.size(w) - 1, (size / 5).cast("int")), lambda n: F.array_join(F.slice(w, n + 1, size), " "))
+    cut = lambda s: F.flatten(F.transform(F.array(words(s["x"])), lambda w: F.flatten(F.transform(starts, lambda size: part(w, size)))))
+    window = lambda s: F.transform(F.filter(cut(s), lambda x: x.rlike(TRIGGER)), lambda x: _candidate(x, LINE, s["i"]))
+    lines = F.concat(lines, F.flatten(F.transform(long, window)))
     blocks = F.split(F.regexp_replace(F.concat(F.lit("\n"), text), MARKED, "$1\n$2"), BREAK)
     blocks = F.transform(told(blocks, BLOCK), lambda s: _candidate(_flat(s["x"]), BLOCK, s["i"]))
     none = F.expr("cast(array() as array<struct<notice:string,kind:int,no:int>>)")
@@ -149,41 +208,53 @@ def notice_key(c: str) -> Column:
     return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
 
 
+def _weight(tf: Column, idf: Column, word: Column) -> Column:
+    """Sublinear tf times idf; words that hold a digit, such as versions, count more."""
+    return (F.log(tf) + 1) * idf * F.when(word.rlike("[0-9]"), VERSION).otherwise(1.0)
+
+
 def notice_scores(notices: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The best licence of each different ``notice`` by its ``key``: ``key, licence, score``.
+    """The best licence of each different ``notice`` by its ``key``: ``key, licence, score, template``.
 
-    Weights are tf times ln((1 + N) / (1 + df)) + 1, where N and df count the
-    different notices of the whole table, so that one that recurs a million times counts once.
-    Ties go to the licence and template that come first.
+    Weights are 1 + ln tf times ln((1 + N) / (1 + df)) + 1, where N and df count
+    the templates, so that a notice's score doesn't depend on what else is scanned;
+    a word in no template has a df of 0. A notice as near to a template of another licence, but for
+    ``MARGIN``, has none. Ties within a licence go to the template that comes first.
     """
-    notices = notices.dropDuplicates(["key"])
-    words = _counts(notices, ["key"], "notice")
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    total = notices.agg(F.count("*").alias("n_notices"))
-    # Templates are a fixed list, so their words and the one-row total may be broadcast.
+    words = _counts(notices.dropDuplicates(["key"]), ["key"], "notice")
+    # Templates are a fixed list, so all that is made of them may be broadcast.
     shape = _counts(templates, ["template", "licence"], "template_text")
-    idf = F.log((1 + F.col("n_notices")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weigh = lambda f: f.join(F.broadcast(total)).withColumn("w", F.col("tf") * idf)
-    notice = weigh(words.join(df, "word")).select("key", "word", "w")
-    shape = weigh(shape.join(df, "word", "left")).select("template", "licence", "word", F.col("w").alias("tw"))
-    length = notice.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    size = shape.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    dot = notice.join(F.broadcast(shape), "word").groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(length, "key").join(F.broadcast(size), "template")
-    scored = scored.withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6))
-    best = scored.filter(F.col("score") >= threshold).groupBy("key").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "licence", "template")).alias("b")
+    n = len(KNOWN)
+    idf = shape.groupBy("word").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    shape = shape.join(idf, "word").withColumn("tw", _weight(F.col("tf"), F.col("idf"), F.col("word"))).select("template", "licence", "word", "tw")
+    size = shape.groupBy("template", "licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    held = shape.groupBy("word").agg(F.collect_list(F.struct("template", "tw")).alias("shapes")).join(idf, "word")
+    weighed = words.join(F.broadcast(held), "word", "left").select(
+        "key", "shapes", _weight(F.col("tf"), F.coalesce("idf", F.log(F.lit(1.0 + n)) + 1), F.col("word")).alias("w")
     )
-    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    # One pass over the words: their own norm and their products with the templates that hold them.
+    norm = F.struct(F.lit(-1).alias("template"), F.col("w").alias("tw"))
+    each = weighed.select("key", "w", F.explode(F.concat(F.array(norm), F.coalesce("shapes", F.expr("cast(array() as array<struct<template:int,tw:double>>)")))).alias("s"))
+    dots = each.groupBy("key", F.col("s.template").alias("template")).agg(F.sum(F.col("w") * F.col("s.tw")).alias("dot"))
+    length = dots.filter("template = -1").select(F.col("key").alias("of"), F.sqrt("dot").alias("norm"))
+    scored = dots.filter("template >= 0").join(length, F.col("key") == F.col("of")).join(F.broadcast(size), "template")
+    scored = scored.withColumn("score", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6)).filter(F.col("score") >= threshold - MARGIN)
+    by = scored.groupBy("key", "licence").agg(F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("b"))
+    best = by.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("b.s").alias("s"), "licence", F.col("b.template").alias("template")))).alias("all"))
+    lead = F.coalesce(F.get("all", F.lit(1))["s"] - F.col("all")[0]["s"], F.lit(1.0))
+    best = best.filter((F.col("all")[0]["s"] <= -threshold) & (F.round(lead, 6) >= MARGIN))
+    return best.select("key", F.col("all")[0]["licence"].alias("licence"), (-F.col("all")[0]["s"]).alias("score"), F.col("all")[0]["template"].alias("template"))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licence of every file: ``path, licence, score, origin, origin_path``.
 
     Scored against the templates are, of whole texts, every line and every block of lines
-    that says it is about a licence, and licence files as a whole. A file's own licence is that
-    of the whole file, else of the best block, else of the best line, the earlier of
-    equals. An SPDX tag in a line is compared as one word.
+    that says it is about a licence, and licence files as a whole; a long line also in
+    windows. A file's own licence is, in a licence file, that of the first title of a
+    licence, else that of the whole file, else of the best block, else of the best line, the earlier of
+    equals. An SPDX tag in a line is compared as one word. What is nearly as close to
+    another licence, or near none, has no licence.
     Files without one inherit from the licence file in their own or else their
     nearest ancestor directory; of several licence files in one directory the best score,
     then the least path holds. ``origin`` is ``own``, ``inherited`` or ``none``. Null
@@ -199,12 +270,15 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     )
     found = found.withColumn("row", F.monotonically_increasing_id())
     found = stored(found, "notices")
-    each = found.filter(F.size("told") > 0).select("row", F.explode("told").alias("x")).select("row", "x.*").withColumn("key", notice_key("notice"))
+    each = found.filter(F.size("told") > 0).select("row", F.col("name").rlike(LICENCE_FILE).alias("file"), F.explode("told").alias("x")).select("row", "file", "x.*").withColumn("key", notice_key("notice"))
     scores = notice_scores(each.select("key", "notice"), template_frame(spark), threshold)
     # A hash of the key, so that both sides have exchanges of their own and a hot notice's can be split.
-    scores = scores.select(F.xxhash64("key").alias("k"), F.col("key").alias("scored"), "licence", "score")
-    hits = each.select("row", "kind", "no", "key").withColumn("k", F.xxhash64("key")).join(scores, "k").filter("key = scored")
-    own = hits.groupBy("row").agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "no", "licence")).alias("b"))
+    scores = scores.select(F.xxhash64("key").alias("k"), F.col("key").alias("scored"), "licence", "score", "template")
+    hits = each.select("row", "file", "kind", "no", "key").withColumn("k", F.xxhash64("key")).join(scores, "k").filter("key = scored")
+    titled = F.col("file") & (F.col("template") >= len(TEMPLATES)) & (F.col("kind") != WHOLE)
+    hits = hits.withColumn("kind", F.when(titled, TITLE).otherwise(F.col("kind")))
+    place = F.when(titled, F.col("no")).otherwise(-1)
+    own = hits.groupBy("row").agg(F.min(F.struct("kind", place.alias("place"), (-F.col("score")).alias("s"), "no", "licence")).alias("b"))
     own = own.select("row", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"))
     files_ = found.select("row", "path", "dir", "name").join(own, "row", "left")
     # One licence for each directory that has a licence file.

@@ -29,8 +29,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(number("path").alias("doc_id"), "licence", "score", "origin", number("origin_path").alias("origin_doc_id"))
 
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.KNOWN))
 _TRIGGER_SQL = licenses.TRIGGER
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT doc_id, no, array_to_string(w[n + 1:n + {size}], ' ') AS x FROM (SELECT doc_id, no, w, unnest(range(0, len(w), {size // 5})) AS n FROM long)"
+    for size in licenses.WINDOWS
+)
+_VERSION = f"CASE WHEN regexp_matches(word, '[0-9]') THEN {licenses.VERSION} ELSE 1.0 END"
 OP1_SQL = f"""
 WITH lines AS (
     SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id // 1000 AS VARCHAR) AS dir, string_split(text, chr(10)) AS l FROM documents
@@ -40,16 +45,24 @@ blocks AS (
     SELECT doc_id, regexp_split_to_array(regexp_replace(chr(10) || text, '{licenses.MARKED}', '\\1\n\\2', 'g'), '{licenses.BREAK}') AS b
     FROM flat WHERE regexp_matches(text, '{_TRIGGER_SQL}')
 ),
+told_lines AS (
+    SELECT doc_id, no, l[no] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM flat) WHERE regexp_matches(l[no], '{_TRIGGER_SQL}')
+),
+long AS (
+    SELECT doc_id, no, w FROM (SELECT doc_id, no, string_split(trim(regexp_replace(x, '\\s+', ' ', 'g')), ' ') AS w FROM told_lines) WHERE len(w) > {licenses.LONG}
+),
 pieces AS (
-    SELECT doc_id, 2 AS kind, no, l[no] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM flat) WHERE regexp_matches(l[no], '{_TRIGGER_SQL}')
+    SELECT doc_id, {licenses.LINE} AS kind, no, x, true AS tag FROM told_lines
+    UNION ALL
+    SELECT doc_id, {licenses.LINE}, no, x, false FROM ({_WINDOWS}) WHERE regexp_matches(x, '{_TRIGGER_SQL}')
     UNION ALL
-    SELECT doc_id, 1, no, b[no] FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS no FROM blocks)
+    SELECT doc_id, {licenses.BLOCK}, no, b[no], false FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS no FROM blocks)
     WHERE regexp_matches(b[no], '{_TRIGGER_SQL}') AND regexp_matches(b[no], '{licenses.LINES}')
     UNION ALL
-    SELECT doc_id, 0, 0, text FROM flat WHERE file
+    SELECT doc_id, {licenses.WHOLE}, 0, text, false FROM flat WHERE file
 ),
 told AS (
-    SELECT doc_id, kind, no, CASE WHEN kind = 2 AND regexp_extract(x, '{licenses.SPDX}', 1) <> ''
+    SELECT doc_id, kind, no, CASE WHEN tag AND regexp_extract(x, '{licenses.SPDX}', 1) <> ''
         THEN 'spdx' || lower(regexp_replace(regexp_extract(x, '{licenses.SPDX}', 1), '[^A-Za-z0-9]', '', 'g'))
         ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END AS notice
     FROM pieces
@@ -64,10 +77,9 @@ shape AS (
     SELECT template, licence, word, count(*) AS tf
     FROM (SELECT template, licence, unnest(regexp_extract_all(lower(body), '{licenses.WORD}')) AS word FROM templates) GROUP BY ALL
 ),
-df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
-n AS (SELECT count(*) AS n FROM notices),
-nw AS (SELECT notice, word, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM words JOIN df USING (word), n),
-tw AS (SELECT template, licence, word, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM shape LEFT JOIN df USING (word), n),
+idf AS (SELECT word, ln({1.0 + len(licenses.KNOWN)} / (1 + count(*))) + 1 AS idf FROM shape GROUP BY word),
+nw AS (SELECT notice, word, (ln(tf) + 1) * coalesce(idf, ln({1.0 + len(licenses.KNOWN)}) + 1) * {_VERSION} AS w FROM words LEFT JOIN idf USING (word)),
+tw AS (SELECT template, licence, word, (ln(tf) + 1) * idf * {_VERSION} AS w FROM shape JOIN idf USING (word)),
 nn AS (SELECT notice, sqrt(sum(w * w)) AS norm FROM nw GROUP BY notice),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
 scored AS (
@@ -75,13 +87,22 @@ scored AS (
     FROM (SELECT notice, template, licence, sum(nw.w * tw.w) AS dot FROM nw JOIN tw USING (word) GROUP BY ALL)
     JOIN nn USING (notice) JOIN tn USING (template)
 ),
+each AS (
+    SELECT notice, template, licence, score FROM scored WHERE score >= {licenses.THRESHOLD} - {licenses.MARGIN}
+    QUALIFY row_number() OVER (PARTITION BY notice, licence ORDER BY score DESC, template) = 1
+),
 best AS (
-    SELECT notice, licence, score FROM scored WHERE score >= {licenses.THRESHOLD}
-    QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, licence, template) = 1
+    SELECT notice, template, licence, score FROM (
+        SELECT *, row_number() OVER o AS place, coalesce(score - lead(score) OVER o, 1) AS ahead FROM each WINDOW o AS (PARTITION BY notice ORDER BY score DESC, licence)
+    ) WHERE place = 1 AND score >= {licenses.THRESHOLD} AND round(ahead, 6) >= {licenses.MARGIN}
+),
+hits AS (
+    SELECT doc_id, licence, score, no, kind, file AND template >= {len(licenses.TEMPLATES)} AND kind <> {licenses.WHOLE} AS titled
+    FROM told JOIN best USING (notice) JOIN flat USING (doc_id)
 ),
 own AS (
-    SELECT doc_id, licence, score FROM told JOIN best USING (notice)
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, no, licence) = 1
+    SELECT doc_id, licence, score FROM hits QUALIFY row_number() OVER (
+        PARTITION BY doc_id ORDER BY CASE WHEN titled THEN {licenses.TITLE} ELSE kind END, CASE WHEN titled THEN no ELSE -1 END, score DESC, no, licence) = 1
 ),
 given AS (
     SELECT dir, licence, score, doc_id FROM own JOIN lines USING (doc_id) WHERE regexp_matches(l[1], '{_TRIGGER_SQL}')

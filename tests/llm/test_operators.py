@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -515,6 +516,17 @@ def test_license_inheritance(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_of_the_system(spark):
+    folder = Path("/usr/share/common-licenses")
+    known = {"Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "GFDL": "GFDL-1.3", "GPL": "GPL-3.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL": "LGPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+    names = sorted(p.name for p in folder.iterdir()) if folder.is_dir() else []
+    if not names:
+        pytest.skip("no licences here")
+    texts = [(f"{n}/LICENSE", (folder / n).read_text(errors="replace")) for n in names]
+    got = {r.path.split("/")[0]: r.licence for r in licenses.license_scan(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert got == {n: known.get(n, n) for n in names}
+
+
 def test_licence_headers_blocks_and_whole_files(spark):
     import textwrap
 
@@ -529,11 +541,24 @@ def test_licence_headers_blocks_and_whole_files(spark):
         ("h/a.py", wrapped("Apache-2.0", "# ") + "\nimport os\n" + "x = y + z\n" * 300, "Apache-2.0"),
         ("h/b.py", "#!/bin/sh\n#\n" + wrapped("GPL-3.0", "# ") + "\n\n" + "x = 1\n" * 300, "GPL-3.0"), ("h/c.py", wrapped("AGPL-3.0", "// ", 40) + "\ncode", "AGPL-3.0"),
         ("s/a.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("s/b.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "GPL-2.0"),
-        ("s/c.c", "# SPDX-License-Identifier: ISC\n", None), ("s/d.c", "# SPDX-License-Identifier:", None), ("s/e.c", "# spdx-license-identifier: Apache-2.0", "Apache-2.0"),
+        ("s/c.c", "# SPDX-License-Identifier: Zlib\n", None), ("s/f.c", "# SPDX-License-Identifier: ISC\n", "ISC"), ("s/d.c", "# SPDX-License-Identifier:", None), ("s/e.c", "# spdx-license-identifier: Apache-2.0", "Apache-2.0"),
         ("t/LICENSE", "", None), ("t/LICENSE.b", None, None), ("t/x", "the licence of poets\nand other\nlines " + "word " * 30_000, None),
     ]
     df = spark.createDataFrame([f[:2] for f in files], "path string, text string").withColumn("key", F.lit("clash")).withColumn("kind", F.lit(1))
     got = {r.path: r.licence for r in licenses.license_scan(df).collect()}
     assert got == {path: name for path, _, name in files}
+    notice = "Licensed under the Apache License, Version 2.0."
+    more = [
+        ("one/x.py", "some other prose here " * 60 + notice + " and more of the same prose" * 60, "Apache-2.0"), ("two/x.js", "var a; " * 90 + body["MPL-1.1"] + " b(); c(); d();" * 40, "MPL-1.1"),
+        ("g2/a.c", wrapped("GPL-2.0", " * "), "GPL-2.0"), ("g1/a.c", wrapped("GPL-1.0", " * "), "GPL-1.0"), ("l2/a.c", wrapped("LGPL-2.0", "# "), "LGPL-2.0"), ("l21/a.c", wrapped("LGPL-2.1", "# "), "LGPL-2.1"),
+        ("i/LICENSE", "Copyright (c) 2020 Some One\n\n" + wrapped("ISC"), "ISC"), ("u/LICENSE", "Own Licence\nVersion 7\n\nYou may read this and do nothing else, says the licence.\n" * 20, None),
+    ]
+    titles = [(f"t{k}/COPYING", "    " + text.replace(" Version", "\n   Version") + "\n\nPreamble\n\n" + "The licences for most software say this and that. " * 50 + "\n\n" + wrapped("LGPL-2.1"), name)
+              for k, (name, text) in enumerate(licenses.TITLES)]
+    df = spark.createDataFrame([f[:2] for f in more + titles], "path string, text string")
+    assert {r.path: r.licence for r in licenses.license_scan(df).collect()} == {path: name for path, _, name in more + titles}
+    # What else is scanned doesn't change a score.
+    alone = {r.path: r.score for path, text, _ in more[:2] for r in licenses.license_scan(spark.createDataFrame([(path, text)], "path string, text string")).collect()}
+    assert alone == {r.path: r.score for r in licenses.license_scan(df).collect() if r.path in alone}
     tied = spark.createDataFrame([("d/LICENSE.b", body["MIT"]), ("d/LICENSE.a", body["MIT"]), ("d/x", "code")], "path string, text string")
     assert {r.origin_path for r in licenses.license_scan(tied).collect() if r.path == "d/x"} == {"d/LICENSE.a"}
