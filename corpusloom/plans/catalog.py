@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading, stats, text
-from ..operators import corpora, experiments, metrics, regression, sampling, vectors
-from ..session import table
+from ..operators import corpora, experiments, lowrank, metrics, regression, sampling, vectors
+from ..session import shared_folder, table
+from ..sources import tensors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -588,6 +589,73 @@ def low_rank_norms(spark: SparkSession, d: str) -> DataFrame:
     return out.select("exp", "layer", *(r(c).alias(c) for c in ("norm_ba", "sigma_max", "nuclear", "effective_rank", "stable_rank")))
 
 
+# --- low-rank updates -----------------------------------------------------------
+
+#: Twenty experiments of three sources and two sizes, whose layers are the vectors: halves as matrices of rank 2.
+_RUN = """concat('sft_', array('numinamath', 'openr1', 'codealpaca')[CAST(vec_id % 20 % 3 AS INT)], '_n', array(100, 500)[CAST(vec_id % 20 div 3 % 2 AS INT)],
+ '_r8_lr5e-5_ep1_seed', vec_id % 20)"""
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").selectExpr(f"{_RUN} AS exp", "concat('model.layers.', vec_id div 20, '.q_proj') AS layer", "embedding")
+    half = lambda side, at, n, m: e.select("exp", "layer", F.lit(side).alias("side"), F.lit(n).alias("rows"), F.lit(m).alias("cols"), F.slice("embedding", at, 32).alias("data"))
+    return half("A", 1, 2, 16).unionAll(half("B", 33, 16, 2))
+
+
+_UPDATES = """w AS (
+    SELECT 'sft_' || list_extract(['numinamath', 'openr1', 'codealpaca'], k % 3 + 1) || '_n' || list_extract([100, 500], k // 3 % 2 + 1) || '_r8_lr5e-5_ep1_seed' || k AS exp,
+           list_extract(['numinamath', 'openr1', 'codealpaca'], k % 3 + 1) AS source, list_extract([100, 500], k // 3 % 2 + 1) AS n, layer,
+           list_transform(range(0, 256), lambda i: e[33 + 2 * (i // 16)] * e[1 + i % 16] + e[34 + 2 * (i // 16)] * e[17 + i % 16]) AS w
+    FROM (SELECT vec_id % 20 AS k, vec_id // 20 AS layer, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+), p AS (
+    SELECT a.exp AS exp_1, b.exp AS exp_2, a.source AS source_1, b.source AS source_2, a.n AS n_1, b.n AS n_2, a.layer, list_dot_product(a.w, b.w) AS dot,
+           list_dot_product(a.w, a.w) AS s1, list_dot_product(b.w, b.w) AS s2 FROM w a JOIN w b ON a.layer = b.layer AND a.exp < b.exp
+), c AS (
+    SELECT exp_1, exp_2, any_value(source_1) AS source_1, any_value(source_2) AS source_2, any_value(n_1) AS n_1, any_value(n_2) AS n_2,
+           count(*) AS layers, round(sum(dot) / sqrt(sum(s1)) / sqrt(sum(s2)), 6) AS cosine FROM p GROUP BY exp_1, exp_2
+)"""
+
+
+@query(f"WITH {_UPDATES} SELECT exp_1, exp_2, layers, cosine FROM c")
+def update_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines of whole updates, whose products are never built."""
+    return lowrank.update_cosines(lowrank.layer_products(_weights(spark, d))).withColumn("cosine", r("cosine"))
+
+
+@query(f"WITH {_UPDATES} SELECT CAST(layer AS INTEGER) AS number, 'q_proj' AS module, count(*) AS n, round(avg(dot / sqrt(s1) / sqrt(s2)), 6) AS mean FROM p GROUP BY layer")
+def layer_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Mean cosine of each layer over the pairs of experiments that share it."""
+    found = lowrank.layer_cosines(lowrank.layer_products(_weights(spark, d)))
+    return found.groupBy("number", "module").agg(F.count("*").alias("n"), r(F.avg("cosine")).alias("mean"))
+
+
+@query(f"WITH {_UPDATES} SELECT exp_1, exp_2, 'N=' || n_1 || ': ' || source_1 || ' vs ' || source_2 AS label, cosine FROM c WHERE n_1 = n_2 AND source_1 <> source_2")
+def equal_size_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Experiments of equal size and different sources."""
+    found = lowrank.update_cosines(lowrank.layer_products(_weights(spark, d))).withColumn("cosine", r("cosine"))
+    return lowrank.equal_size_pairs(found).select("exp_1", "exp_2", "label", "cosine")
+
+
+@query(f"""WITH {_UPDATES}
+SELECT exp_1 AS exp, n_1 AS n, exp_2 AS other, source_2 AS other_source, n_2 AS other_n, cosine FROM c WHERE source_1 = 'codealpaca' AND source_2 <> 'codealpaca'
+UNION ALL SELECT exp_2, n_2, exp_1, source_1, n_1, cosine FROM c WHERE source_2 = 'codealpaca' AND source_1 <> 'codealpaca'""")
+def family_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Code experiments against all mathematical ones."""
+    found = lowrank.update_cosines(lowrank.layer_products(_weights(spark, d))).withColumn("cosine", r("cosine"))
+    return lowrank.family_pairs(found, ["codealpaca"])
+
+
+@query(f"""WITH {_UPDATES.split(', p AS')[0]} SELECT w.exp, 'model.layers.' || layer || '.q_proj' AS layer, 2 AS rows, 16 AS cols, round(sqrt(x), 5) AS norm FROM w JOIN (
+    SELECT vec_id, list_dot_product(e[1:32], e[1:32]) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+) t ON t.vec_id // 20 = layer AND w.exp LIKE '%seed' || t.vec_id % 20 WHERE source = 'numinamath'""")
+def tensor_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Norms of one side's matrices of one source, read back from weight files by ranges."""
+    path = shared_folder(spark, "weights")
+    tensors.write_tensors(_weights(spark, d), path, shards=4).write.format("noop").mode("overwrite").save()
+    found = tensors.tensors(spark, path).filter((F.col("side") == "A") & F.col("exp").startswith("sft_numinamath"))
+    return found.select("exp", "layer", "rows", "cols", F.round(stats.norm(F.col("data")), 5).alias("norm"))
+
+
 # --- regression --------------------------------------------------------------
 
 

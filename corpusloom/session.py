@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors see, for files a query makes of the tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors share no folder with the driver: set spark.checkpoint.dir")
+    return f"{base or tempfile.mkdtemp(prefix='corpusloom-')}/{name}-{uuid.uuid4().hex}"
