@@ -28,76 +28,6 @@ def missing_params(required: Column, given: Column) -> Column:
     return F.array_except(required, given)
 
 
-#: The keys of a path that are operations.
-METHODS = ("get", "post", "put", "delete", "patch", "head", "options", "trace")
-FUNCTIONS = "tool string, function string, method string, path string, description string, parameters string, required array<string>, text_only boolean"
-
-
-def describe_schema(schema: dict, components: dict, seen: tuple = ()) -> str:
-    """A JSON schema in words; references are followed once."""
-    if not isinstance(schema, dict):
-        return ""
-    if "$ref" in schema:
-        name = str(schema["$ref"]).rsplit("/", 1)[-1]
-        if name in seen:
-            return name
-        return describe_schema(components.get(name, {}), components, (*seen, name))
-    if "oneOf" in schema:
-        return " or ".join(describe_schema(x, components, seen) for x in schema["oneOf"])
-    kind = schema.get("type", "object" if "properties" in schema else "")
-    if kind == "array":
-        return f"Array[{describe_schema(schema.get('items', {}), components, seen)}]"
-    if kind == "object":
-        inside = ", ".join(f"{k}: {describe_schema(v, components, seen)}" for k, v in schema.get("properties", {}).items())
-        return f"Object({{{inside}}})" if inside else "Object"
-    word = ". ".join(x for x in (str(kind).capitalize(), str(schema.get("description") or "").strip().rstrip(".")) if x)
-    if "enum" in schema:
-        word += f". One of: [{', '.join(map(str, schema['enum']))}]"
-    return word
-
-
-def api_functions(df: DataFrame, name: str, document: str) -> DataFrame:
-    """A row for each path and method of OpenAPI documents; texts that aren't one give no rows.
-
-    Schemas recurse without bound, which no expression can follow, so documents are walked in Arrow batches.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for tool, text in zip(b[name], b[document], strict=True):
-                if not problem(text):
-                    out += _functions(tool, json.loads(text))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
-
-    return df.select(name, document).mapInPandas(run, FUNCTIONS)
-
-
-def _functions(tool: str, spec: dict) -> Iterator[tuple]:
-    components = spec.get("components", {}).get("schemas", {})
-    for path, methods in spec["paths"].items():
-        shared = methods.get("parameters", []) if isinstance(methods, dict) else []
-        for method, op in methods.items() if isinstance(methods, dict) else ():
-            if method not in METHODS or not isinstance(op, dict):
-                continue
-            said, required = [], []
-            for p in [*op.get("parameters", []), *shared]:
-                if "name" not in p:
-                    continue
-                schema = p.get("schema", {})
-                said.append(f"{p.get('name')}: {describe_schema(schema, components)}. {p.get('description', '')}".strip())
-                required += [p.get("name")] if p.get("required") else []
-            body = op.get("requestBody", {}).get("content", {})
-            for media in list(body.values())[:1]:  # the first kind stands for all
-                schema = media.get("schema", {})
-                for k, v in schema.get("properties", {}).items():
-                    said.append(f"{k}: {describe_schema(v, components)}")
-                required += schema.get("required", [])
-            kinds = [m for r in op.get("responses", {}).values() for m in r.get("content", {})]
-            text = all(m.startswith("text/") or m.endswith("json") or m.endswith("xml") for m in kinds)
-            yield tool, op.get("operationId") or f"{method}_{path}", method, path, op.get("summary") or op.get("description") or "", "\n".join(said), required, text
-
-
 def problem(text: str | None) -> str | None:
     """What keeps a text from being an API document, or None."""
     try:
@@ -123,22 +53,6 @@ def with_server(text: str | None, url: str) -> str | None:
     return text if problem(text) else json.dumps(json.loads(text) | {"servers": [{"url": url}]})
 
 
-def typed_value(value: Column, kind: Column, enum: Column) -> Column:
-    """Struct of a parameter as its schema's type, and what is wrong with it; strings of numbers are converted."""
-    number = value.try_cast("double")
-    ok = (
-        F.when(kind == "integer", number.isNotNull() & (number == F.floor(number)))
-        .when(kind == "number", number.isNotNull())
-        .when(kind == "boolean", F.lower(value).isin("true", "false"))
-        .otherwise(True)
-    )
-    listed = enum.isNull() | F.array_contains(enum, value)
-    return F.struct(
-        F.when(ok & kind.isin("integer", "number"), number).alias("number"),
-        F.when(~ok, F.concat(F.lit("not of type "), kind)).when(~listed, F.lit("not an allowed value")).alias("error"),
-    )
-
-
 def trainable_traces(traces: DataFrame, most: int = 5) -> DataFrame:
     """Traces with one to ``most`` steps that use more than the look-up of details."""
     tools = F.array_distinct(F.transform("steps", lambda x: x["action"]))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading, stats, text
-from ..operators import corpora, experiments, lowrank, metrics, regression, sampling, vectors
+from ..operators import apidocs, corpora, experiments, lowrank, metrics, regression, sampling, vectors
 from ..session import shared_folder, table
 from ..sources import tensors
 
@@ -377,6 +377,58 @@ def action_calls(spark: SparkSession, d: str) -> DataFrame:
     return call.select("event_id", "a.function", "a.params", k.alias("k"))
 
 
+# --- API documents -----------------------------------------------------------
+
+_DOCUMENT = """'{"paths": {"/parts/{id}/' || p_type || '": {"parameters": [{"name": "id", "required": true, "description": "' || p_name || '", "schema": {"type": "integer"}}],
+ "get": {"summary": "' || p_brand || '", "parameters": [{"name": "size", "schema": {"type": "string", "enum": ["' || p_size || '", 7]}}], "responses": {"404": {}, "200": {"description": "ok",
+ "content": {"application/json": {"schema": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "number"}, "of": {"$ref": "#/components/schemas/' || p_type || '"}}}}}}}}}}}}'"""
+
+
+@query("""
+SELECT p_partkey, 'parts_id_' || p_type || '_get' AS function, p_brand || chr(10) || 'Parameters: {"size": "string. One of: [' || p_size || ', 7]. ", "id": "Required. integer. ' || p_name || '."}' || chr(10) ||
+       'Output: ok.' || chr(10) || ' - Format: application/json' || chr(10) || ' - Structure: Array[Object{n, of: #' || p_type || '}]' || chr(10) AS text FROM part""")
+def api_function_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Names and wording of the functions of API documents, one for each part."""
+    docs = table(spark, d, "part").selectExpr("p_partkey", f"{_DOCUMENT} AS document")
+    return apidocs.functions(docs, "p_partkey").select(F.col("tool").alias("p_partkey"), "function", "text")
+
+
+_MEDIA = "array('application/json', 'text/csv', 'image/png')[CAST(p_size {} AS INT)]"
+
+
+@query("""
+SELECT p_partkey, a = 'image/png' OR b <> 'image/png' AS input, a <> 'image/png' AND c <> 'image/png' AS output FROM (
+    SELECT p_partkey, list_extract(m, p_size % 3 + 1) AS a, list_extract(m, p_size // 3 % 3 + 1) AS b, list_extract(m, p_size // 9 % 3 + 1) AS c
+    FROM (SELECT *, ['application/json', 'text/csv', 'image/png'] AS m FROM part))""")
+def api_media_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Whether APIs take and give texts: the first operation that doesn't decides, else the last."""
+    kinds = [_MEDIA.format(part) for part in ("% 3", "div 3 % 3", "div 9 % 3")]
+    told = "concat('{\"paths\": {\"/a\": {\"get\": {\"responses\": {\"200\": {\"content\": {\"', a, '\": {}}}}}}, \"/b\": {\"x\": 1, \"post\": {\"requestBody\": {\"content\": {\"', b, '\": {}}}, \"responses\": {\"200\": {\"content\": {\"', c, '\": {}}}, \"201\": {}}}}}}')"
+    docs = table(spark, d, "part").selectExpr("p_partkey", *(f"{k} AS {n}" for k, n in zip(kinds, "abc", strict=True))).selectExpr("p_partkey", f"{told} AS document")
+    return docs.select("p_partkey", apidocs.media_flags(F.col("document")).alias("f")).select("p_partkey", "f.input", "f.output")
+
+
+_PARAMS = """CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || k || '"}' WHEN 2 THEN '{"k": [' || k || ']}' ELSE '{"j": ' || k || '}' END"""
+_RETRY = ". You need to change the input and try again."
+
+
+@query(f"""
+WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+e AS (SELECT event_id, event_id % 4 AS form, k, '"' || CASE WHEN event_id % 4 = 2 THEN '[' || k || ']' ELSE CAST(k AS VARCHAR) END || '"' AS got FROM p)
+SELECT event_id, CASE form WHEN 3 THEN 0 WHEN 2 THEN 2 ELSE CASE WHEN k < 50 THEN 0 ELSE 1 END END AS errors, CASE form WHEN 3 THEN 1 ELSE 0 END AS missing,
+       CASE WHEN form = 3 THEN 'Missing required parameters: "k"{_RETRY}'
+            WHEN form = 2 THEN 'Parameter type error: "k", expected integer, but got array{_RETRY}' || chr(10) || 'Parameter type error: "k", expected one of ' || l || ', but got ' || got || '{_RETRY}'
+            WHEN k >= 50 THEN 'Parameter type error: "k", expected one of ' || l || ', but got ' || got || '{_RETRY}' END AS message
+FROM e, (SELECT '[' || array_to_string(range(0, 50), ',') || ']' AS l)""")
+def call_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Types, allowed values and required parameters of calls."""
+    calls = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).selectExpr("event_id", f"{_PARAMS} AS params")
+    allowed = "[" + ",".join(map(str, range(50))) + "]"
+    wanted = F.array(F.struct(F.lit("k").alias("name"), F.lit("integer").alias("kind"), F.lit(allowed).alias("enum"), F.lit(True).alias("required")))
+    out = apidocs.checked_calls(calls.withColumn("wanted", wanted), ["event_id"], "params", "wanted")
+    return out.select("event_id", F.size("errors").alias("errors"), F.size("missing").alias("missing"), "message")
+
+
 # --- metrics -----------------------------------------------------------------
 
 
