@@ -94,12 +94,6 @@ def filled_up(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b.join(a.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def border_flags(df: DataFrame, order: list[str], group: str) -> DataFrame:
-    """Marks the rows of a sorted matrix where the group changes; a matrix has a row for each experiment."""
-    w = Window.orderBy(*order)
-    return df.withColumn("idx", F.row_number().over(w) - 1).withColumn("border", F.coalesce(F.lag(group).over(w) != F.col(group), F.lit(False)))
-
-
 def seed_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and population deviation over replicates."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from .ordered import mean_ranks
+
 NO_FIT = float("inf")
 
 
@@ -66,13 +69,22 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation of average ranks."""
-
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    """Correlation of average ranks with its two-sided p value by Student's t: ``by..., n, rho, p_value``.
 
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, mean_rank(x).alias("rx"), mean_rank(y).alias("ry"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    Ranks are of different values, found in one ordered scan, so no group is one task's. Rows with a
+    null group or value are left out; under three rows have no p value, and a correlation of 1 has 0.
+    """
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).dropna(subset=by)
+    pairs = rows.groupBy(*by, x, y).agg(F.count("*").alias("_k"))
+    ranked = pairs.join(mean_ranks(rows, x, by).withColumnRenamed("rank", "rx"), [*by, x]).join(mean_ranks(rows, y, by).withColumnRenamed("rank", "ry"), [*by, y])
+    k, a, b = F.col("_k"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy(*by).agg(*(F.sum(c * k).alias(name) for name, c in (("n", F.lit(1)), ("sa", a), ("sb", b), ("sab", a * b), ("saa", a * a), ("sbb", b * b))))
+    n = F.col("n").cast("double")
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / n
+    rho = F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / n, F.sqrt(spread("sa", "saa") * spread("sb", "sbb")))
+    out = sums.select(*by, "n", F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    return out.withColumn("p_value", F.when((F.col("n") > 2) & F.col("rho").isNotNull(), F.when(F.abs("rho") >= 1, 0.0).otherwise(stats.t_two_sided(t, F.col("n") - 2))))
 
 
 def slope_by_log(df: DataFrame, size: str, y: str, by: list[str]) -> DataFrame:

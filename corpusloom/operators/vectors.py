@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ordered import with_previous
 
 
 def with_norm(df: DataFrame, vector: str) -> DataFrame:
@@ -57,11 +56,13 @@ def pair_summary(pairs: DataFrame, group: str) -> DataFrame:
 
 
 def consecutive_cosines(df: DataFrame, by: list[str], order: str, vector: str) -> DataFrame:
-    """Cosine of each vector and the next of its group."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = with_norm(df, vector).withColumns({"_v": F.lag(vector).over(w), "_n": F.lag("norm").over(w), "previous": F.lag(order).over(w)})
-    cos = stats.cosine(F.col("_v"), F.col(vector), F.col("_n"), F.col("norm"))
-    return rows.filter(F.col("previous").isNotNull()).select(*by, "previous", order, cos.alias("cosine"))
+    """Cosine of each vector and the next of its group, in one scan ordered by group."""
+    rows = with_previous(with_norm(df, vector), [*by, order], [*by, order, vector, "norm"])
+    for c in by:
+        rows = rows.filter(F.col(f"previous.{c}").eqNullSafe(F.col(c)))
+    rows = rows.filter(F.col("previous").isNotNull())
+    cos = stats.cosine(F.col(f"previous.{vector}"), F.col(vector), F.col("previous.norm"), F.col("norm"))
+    return rows.select(*by, F.col(f"previous.{order}").alias("previous"), order, cos.alias("cosine"))
 
 
 def effective_perturbation(df: DataFrame, reference: DataFrame, vector: str) -> DataFrame:
@@ -104,23 +105,6 @@ def low_rank_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("exp", "layer").applyInPandas(run, NORMS)
 
 
-def bootstrap(df: DataFrame, key: str, correct: str, total: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Percentile interval and standard error of a proportion by binomial draws; seeded by key, so order doesn't matter."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
-        for b in batches:
-            rows = []
-            for k, c, n in b[[key, correct, total]].itertuples(index=False):
-                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
-                p = rng.binomial(n, c / n, draws) / n if n else np.zeros(draws)
-                rows.append((str(k), float(np.percentile(p, 2.5)), float(np.percentile(p, 97.5)), float(p.std(ddof=1))))
-            yield pd.DataFrame(rows, columns=["key", "low", "high", "se"])
-
-    return df.mapInPandas(run, "key string, low double, high double, se double")
-
-
 def masked_kl(df: DataFrame, policy: str, reference: str, attention: str, labels: str) -> DataFrame:
     """Mean over trained tokens of the divergence of two log-probability arrays; at least one token counts."""
     mask = F.zip_with(attention, labels, lambda a, l: F.when((a == 1) & (l != -100), 1.0).otherwise(0.0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading, stats, text
-from ..operators import apidocs, corpora, experiments, lowrank, metrics, regression, sampling, vectors
+from ..operators import apidocs, corpora, experiments, lowrank, metrics, ordered, regression, resampling, sampling, vectors
 from ..session import shared_folder, table
 from ..sources import tensors
 
@@ -528,7 +528,11 @@ def ztest_pairs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pairwise_z(rows, "lang", "source").withColumn("z", r("z"))
 
 
-@query()
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * pow({x}, 2 * i + 1) / gamma(i + 1) / (2 * i + 1)))"
+
+
+@query(f"""{_PAIRS}, q AS (SELECT lang, first, second, round({_PZ}, 6) AS z FROM p), v AS (SELECT *, round(CASE WHEN abs(z) > 6 THEN 0 ELSE 1 - ({_ERF.format(x='(abs(z) / sqrt(2))')}) END, 6) AS p FROM q)
+SELECT lang, first, second, z, p, p < 0.05 AS significant FROM v""")
 def ztest_p_values(spark: SparkSession, d: str) -> DataFrame:
     pairs = ztest_pairs(spark, d)
     return pairs.withColumn("p", r(stats.two_sided_p("z"))).withColumn("significant", F.col("p") < 0.05)
@@ -576,10 +580,25 @@ def judge_tally(spark: SparkSession, d: str) -> DataFrame:
     return metrics.judge_tally(table(spark, d, "labels").select(j["process"].alias("process"), j["final"].alias("final")), "process", "final")
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT source AS key, total, correct, correct / total AS p FROM ({_ACC})),
+b AS (SELECT *, 9 * sqrt(total * p * (1 - p)) + 9 AS spread FROM a),
+r AS (
+    SELECT key, total, p, CAST(CASE WHEN p <= 0 OR p >= 1 THEN round(total * p) ELSE greatest(0, floor(total * p - spread)) END AS BIGINT) AS low,
+           CAST(CASE WHEN p <= 0 OR p >= 1 THEN round(total * p) ELSE least(total, ceil(total * p + spread)) END AS BIGINT) AS high FROM b
+),
+k AS (SELECT key, total, p, low, unnest(range(low, high + 1)) AS k FROM r),
+l AS (SELECT key, k, sum(CASE WHEN k > low THEN ln((total - k + 1) / k * (p / (1 - p))) ELSE 0.0 END) OVER (PARTITION BY key ORDER BY k) AS lw FROM k),
+w AS (SELECT key, k, exp(lw - max(lw) OVER (PARTITION BY key)) AS w FROM l),
+f AS (SELECT key, k, sum(w) OVER (PARTITION BY key ORDER BY k) / sum(w) OVER (PARTITION BY key) AS v FROM w),
+u AS (SELECT key, draw, (CAST('0x' || md5('42:' || key || ':' || draw)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 AS v FROM (SELECT key, unnest(range(1, 10001)) AS draw FROM r)),
+e AS (SELECT key, v, 1 AS cell FROM f UNION ALL SELECT key, v, 0 FROM u),
+n AS (SELECT key, cell, sum(cell) OVER (PARTITION BY key ORDER BY v, cell ROWS UNBOUNDED PRECEDING) AS passed FROM e),
+s AS (SELECT key, least(low + passed, high) / total AS share FROM n JOIN r USING (key) WHERE cell = 0)
+SELECT key AS source, round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high, round(stddev_samp(share), 6) AS se FROM s GROUP BY key""")
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals by resampling; drawn numbers have no SQL."""
-    out = vectors.bootstrap(_accuracy(spark, d), "source", "correct", "total")
+    """Intervals by resampling, whose draws follow from key and number."""
+    out = resampling.bootstrap(_accuracy(spark, d), "source", "correct", "total")
     return out.select(F.col("key").alias("source"), r("low").alias("low"), r("high").alias("high"), r("se").alias("se"))
 
 
@@ -756,7 +775,33 @@ SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (
 FROM (SELECT lang, n_chars, length(text) - length(replace(text, ' ', '')) AS w FROM documents)) GROUP BY lang""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("lang", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("w"))
-    return regression.spearman(docs, "n_chars", "w", ["lang"]).withColumn("rho", r("rho"))
+    return regression.spearman(docs, "n_chars", "w", ["lang"]).select("lang", "n", r("rho").alias("rho"))
+
+
+@query("""WITH r AS (
+    SELECT lang, count(*) AS n, corr(rx, ry) AS rho FROM (
+        SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rx,
+               rank() OVER (PARTITION BY lang ORDER BY w) + (count(*) OVER (PARTITION BY lang, w) - 1) / 2.0 AS ry
+        FROM (SELECT lang, n_chars, doc_id % 1000 AS w FROM documents)) GROUP BY lang
+), t AS (SELECT lang, n, rho, n - 2 AS v, atan(abs(rho) * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) AS top FROM r)
+SELECT lang, n, round(rho, 6) AS rho, round(1 - 2 / sqrt(pi()) * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) * top / 6000 *
+    list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(top * i / 2000), v - 1))), 6) AS p_value FROM t""")
+def spearman_p_values(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of length and number with its p value, which the SQL integrates."""
+    docs = table(spark, d, "documents").select("lang", "n_chars", (F.col("doc_id") % 1000).alias("w"))
+    out = regression.spearman(docs, "n_chars", "w", ["lang"])
+    return out.select("lang", "n", r("rho").alias("rho"), r("p_value").alias("p_value"))
+
+
+@query("""SELECT doc_id, row_number() OVER w - 1 AS idx, coalesce(source <> lag(source) OVER w, false) AS border, lag(doc_id) OVER w AS previous
+FROM documents WINDOW w AS (ORDER BY source, n_chars DESC, doc_id)""")
+def row_index(spark: SparkSession, d: str) -> DataFrame:
+    """Number, predecessor and block border of every document in one order of all."""
+    docs = table(spark, d, "documents").select("doc_id", "source", (-F.col("n_chars")).alias("size"))
+    order = ["source", "size", "doc_id"]
+    flags = ordered.border_flags(docs, order, "source").select("doc_id", "idx", "border")
+    before = ordered.with_previous(docs, order, ["doc_id"]).select("doc_id", F.col("previous.doc_id").alias("previous"))
+    return flags.join(before, "doc_id")
 
 
 @query("SELECT lang, count(*) AS n, round(regr_slope(doc_id % 100, ln(n_chars)), 6) AS slope, max(doc_id % 100) - min(doc_id % 100) AS range FROM documents GROUP BY lang HAVING count(*) >= 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,8 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path that driver and executors see, for files a query makes of the tables."""
+    """A new folder's path that driver and executors see, for files a query makes of the tables; deleted when the program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("executors share no folder with the driver: set spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='corpusloom-')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base or tempfile.mkdtemp(prefix='corpusloom-')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_shared_folders() -> None:
+    """Delete the folders made so far, once no plan reads them any more."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended before the interpreter
+            pass

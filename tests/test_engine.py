@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import grading, stats, text
-from corpusloom.operators import experiments, metrics, regression, sampling, tools, vectors
+from corpusloom.operators import experiments, metrics, regression, resampling, sampling, tools, vectors
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming import sessions
 
@@ -142,7 +142,7 @@ def test_vectors(spark):
 
 def test_bootstrap_is_order_free(spark):
     df = spark.createDataFrame([("a", 30, 100), ("b", 0, 0)], "k string, c int, n int")
-    one, two = ({r.key: r.low for r in vectors.bootstrap(d, "k", "c", "n").collect()} for d in (df, df.orderBy(F.desc("k"))))
+    one, two = ({r.key: r.low for r in resampling.bootstrap(d, "k", "c", "n").collect()} for d in (df, df.orderBy(F.desc("k"))))
     assert one == two and 0.19 < one["a"] < 0.24
 
 
