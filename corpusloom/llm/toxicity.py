@@ -34,11 +34,13 @@ SLACK = 2
 DECAY = 0.7
 #: Weight of the longest subsequence, the whole word, whatever its length.
 WHOLE = 0.7
-#: Codes of symbols: 0 matches nothing, 1 is a word's end.
-CODES = 64
-#: Subsequences are hashed to so many bits.
+#: Subsequences are hashed to so many bits; a symbol is its code point, so any script counts, and 0 is none.
 HASH_BITS = 22
 EDGE = "\x01"
+#: Words the machine is trained on, at most: seeds, words of label-0 texts drawn at random, and those of each round near the boundary.
+SEEDS, NEGATIVES, HARD = 3_000, 12_000, 3_000
+#: Words with which wrong labels are counted: expected so often in label-0 texts by chance, and seen at most at this share of it.
+EXPECTED, RARE = 30, 0.1
 #: Longer words are scored by overlapping windows of so many characters.
 WIDTH = 24
 TRIM = ".,;:!?*#%&$\"'()[]{}<>-_~|/\\"
@@ -79,30 +81,19 @@ def windows(word: str) -> list[str]:
     return [f[i : i + WIDTH] for f in forms for i in range(0, max(1, len(f) - WIDTH // 2), WIDTH // 2)]
 
 
-@dataclass
 class Kernel:
-    """Symbols of the kernel: a code for each character that landmarks have."""
-
-    lut: np.ndarray
-
-    @classmethod
-    def of(cls, words: Iterable[str]) -> Kernel:
-        common = Counter(c for w in words for c in w)
-        lut = np.zeros(0x110000, np.uint8)
-        lut[ord(EDGE)] = 1
-        for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: CODES - 2]):
-            lut[ord(c)] = i + 2
-        return cls(lut)
+    """Hashes of the subsequences of words."""
 
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A row of symbol codes, a norm and the hash of the whole, for each word of at most WIDTH characters."""
+    @staticmethod
+    def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of symbols, a norm and the hash of the whole, for each word of at most WIDTH characters."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
         most = int(lengths.max(initial=3))
         wide = np.array([EDGE + w + EDGE for w in words], f"<U{most}")
         points = wide.view(np.uint32).reshape(len(words), most)
         powers = np.multiply.accumulate(np.full(most, 2654435761, np.uint32), dtype=np.uint32)
         whole = (points * powers).sum(1, dtype=np.uint32) * np.uint32(2246822519)
-        return self.lut[points].astype(np.uint32), norm(lengths), (whole >> np.uint32(32 - HASH_BITS)) | np.uint32(1)
+        return points, norm(lengths), (whole >> np.uint32(32 - HASH_BITS)) | np.uint32(1)
 
     @staticmethod
     def grams(codes: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
@@ -114,26 +105,26 @@ class Kernel:
             parts = [codes[:, k : n - p[-1] + k] for k in p]
             value, seen = parts[0].copy(), parts[0] > 0
             for x in parts[1:]:
-                value = value * np.uint32(64) + x
+                value = value * np.uint32(0x9E3779B1) + x
                 seen &= x > 0
-            value = (value + np.uint32(len(p))) * np.uint32(2654435761)
+            value = (value ^ (value >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(len(p))
             yield DECAY ** (p[-1] + 1), np.where(seen, (value >> np.uint32(32 - HASH_BITS)) | np.uint32(1), 0)
 
 
-def _collapsed(kernel: Kernel, words: list[str], weights: np.ndarray) -> np.ndarray:
-    codes, n, whole = kernel.codes(words)
+def _collapsed(words: list[str], weights: np.ndarray) -> np.ndarray:
+    codes, n, whole = Kernel.codes(words)
     out = np.zeros(1 << HASH_BITS)
     np.add.at(out, whole, WHOLE * weights)
-    for w, g in kernel.grams(codes):
+    for w, g in Kernel.grams(codes):
         np.add.at(out, g, w * (weights / n)[:, None])
     out[0] = 0
     return out.astype(np.float32)
 
 
-def gram_matrix(kernel: Kernel, words: list[str], landmarks: list[str]) -> np.ndarray:
+def gram_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of every word with every landmark."""
-    codes, n, whole = kernel.codes(landmarks)
-    grams = list(kernel.grams(codes))
+    codes, n, whole = Kernel.codes(landmarks)
+    grams = list(Kernel.grams(codes))
     known = np.unique(np.concatenate([np.zeros(1, np.uint32), whole, *(g.ravel() for _, g in grams)]))
     at = np.zeros(1 << HASH_BITS, np.int32)
     at[known] = np.arange(len(known))
@@ -144,9 +135,9 @@ def gram_matrix(kernel: Kernel, words: list[str], landmarks: list[str]) -> np.nd
     np.add.at(table, (at[whole], np.arange(len(landmarks))), WHOLE)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for start in range(0, len(words), 4096):
-        codes, n, whole = kernel.codes(words[start : start + 4096])
+        codes, n, whole = Kernel.codes(words[start : start + 4096])
         part = out[start : start + 4096]
-        for w, g in kernel.grams(codes):
+        for w, g in Kernel.grams(codes):
             rows = at[g]
             for column in rows.T:
                 some = np.flatnonzero(column)
@@ -158,7 +149,6 @@ def gram_matrix(kernel: Kernel, words: list[str], landmarks: list[str]) -> np.nd
 
 @dataclass
 class Model:
-    kernel: Kernel
     weights: np.ndarray
     bias: float
     slope: float
@@ -166,10 +156,10 @@ class Model:
 
     def __getstate__(self) -> tuple:
         some = np.flatnonzero(self.weights)
-        return self.kernel, some, self.weights[some], self.bias, self.slope, self.offset
+        return some, self.weights[some], self.bias, self.slope, self.offset
 
     def __setstate__(self, state: tuple) -> None:
-        self.kernel, some, values, self.bias, self.slope, self.offset = state
+        some, values, self.bias, self.slope, self.offset = state
         self.weights = np.zeros(1 << HASH_BITS, np.float32)
         self.weights[some] = values
 
@@ -179,9 +169,9 @@ class Model:
         out = np.full(len(words), -np.inf)
         for at in range(0, len(parts), 1 << 15):
             some = parts[at : at + (1 << 15)]
-            codes, n, whole = self.kernel.codes([p for _, p in some])
+            codes, n, whole = Kernel.codes([p for _, p in some])
             total = n * WHOLE * self.weights[whole]
-            for w, g in self.kernel.grams(codes):
+            for w, g in Kernel.grams(codes):
                 total += w * self.weights[g].sum(1, dtype=np.float64)
             np.maximum.at(out, [i for i, _ in some], total / n + self.bias)
         return out
@@ -231,14 +221,33 @@ def _pieces(word: str) -> set[str]:
     return {v} | {v[i : i + k] for k in (4, 5, 7) for i in range(len(v) - k + 1)}
 
 
-def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives: int = 12_000, prior: float | None = None) -> Model:
+def _noise(clean: np.ndarray, suspect: np.ndarray, n0: int, n1: int) -> float:
+    """Rate at which what belongs to label-1 texts comes up in label-0 texts, by the words that surely do; 0 if none does.
+
+    Such a word would be in ``EXPECTED`` label-0 texts or more by chance, and is in ``RARE`` of them at most.
+    """
+    chance = suspect * (n0 / n1)
+    sure = (chance >= EXPECTED) & (clean <= RARE * chance)
+    return float(clean[sure].sum() / max(1e-9, chance[sure].sum()))
+
+
+def _borne(noise: float, k1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Label-0 texts that may hold, by wrong labels, what so many label-1 texts hold: the mean and three deviations, but a few of what chance gives."""
+    chance = np.asarray(k1) * (n0 / n1)
+    mean = noise * chance
+    return np.floor(np.minimum(mean + 3 * np.sqrt(mean), RARE / 2 * chance)).astype(np.int64)
+
+
+def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives: int = NEGATIVES, prior: float | None = None) -> Model:
     """Train on (words, label) of labelled texts; the texts' order doesn't matter.
 
     Only texts are labelled, not words. Seeds are words that hold a piece which
-    occurs in too many label-1 texts for chance and in no label-0 text; of near
-    copies among the texts one counts. The machine
-    separates them, and variants with a character inserted, from words of label-0
-    texts; then words of label-0 texts near its boundary join the others. With one
+    occurs in too many label-1 texts for chance, and word and piece in no more label-0
+    texts than wrong labels explain, at a rate told by the words themselves: in none, if no
+    label is wrong. Of near copies among the label-1 texts one counts. The machine
+    separates at most ``SEEDS`` of them, and variants with a character inserted, from
+    ``negatives`` words of label-0 texts; then, three times, at most ``HARD`` words of
+    label-0 texts near its boundary join the others. With one
     label only, or no seeds, nothing is learnt that tells texts apart: every score is ``prior``,
     or if that isn't given the smoothed share of label 1 among the rows, which a balanced
     sample distorts, and at most ``UNLEARNT``, so that no text is rejected.
@@ -255,27 +264,30 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     share = (n1 + 1) / (len(texts) + 2)
     prior = share if prior is None else prior
     unlearnt = min(prior, UNLEARNT)
-    constant = Model(Kernel.of([]), np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(unlearnt / (1 - unlearnt)))
+    constant = Model(np.zeros(1 << HASH_BITS, np.float32), 0.0, 0.0, math.log(unlearnt / (1 - unlearnt)))
     if not 0 < n1 < len(texts):
         return constant
     clean, suspect = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for ids, mark in zip(texts, marks, strict=True):
         (suspect if mark else clean)[ids] += 1
-    suspect[clean > 0] = 0
-    # Of near copies one counts: texts that agree in a band of four min-hashes with an earlier one are copies.
+    # Of near copies with one label one counts: texts that agree in a band of four min-hashes with an earlier one are copies.
     base_hash = np.array([zlib.crc32(w.encode()) for w in names], np.uint64)
     mixers = np.random.default_rng(5).integers(1, 1 << 62, (16, 2), dtype=np.uint64) | np.uint64(1)
     met: set[tuple] = set()
-    different = []
-    for ids, mark in zip(texts, marks, strict=True):
-        odd = ids[suspect[ids] > 0]
-        if mark and len(odd):
-            least = [int(((base_hash[ids] * m + c) >> np.uint64(20)).min()) for m, c in mixers]
-            bands = {(k, *least[k : k + 4]) for k in range(0, 16, 4)}
-            if not met & bands:
-                different.append(odd)
-            met |= bands
+    first = np.zeros(len(texts), bool)
+    for k, (ids, mark) in enumerate(zip(texts, marks, strict=True)):
+        least = [int(((base_hash[ids] * m + c) >> np.uint64(20)).min(initial=1 << 44)) for m, c in mixers]
+        bands = {(mark, j, *least[j : j + 4]) for j in range(0, 16, 4)}
+        first[k] = not met & bands
+        met |= bands
     del base_hash
+    counted = [np.zeros(len(names), np.int64) for _ in range(2)]
+    for k in np.flatnonzero(first):
+        counted[marks[k]][texts[k]] += 1
+    kept0, kept1 = (int((first & (label == m)).sum()) for m in (0, 1))
+    noise = _noise(*counted, kept0, kept1)
+    suspect[(clean > 0) & (np.maximum(counted[0], 1) > _borne(noise, counted[1], kept0, kept1))] = 0
+    different = [texts[k][suspect[texts[k]] > 0] for k in np.flatnonzero(first & (label == 1))]
     enough = max(3.0, math.log(1e6) / -math.log(share))
     # Counted by hash first, then exactly for those that may be frequent.
     rough = np.zeros(1 << 22, np.int32)
@@ -284,16 +296,22 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
         rough[list({slot(p) for i in odd for p in _pieces(names[i])})] += 1
     held = Counter(p for odd in different for p in {p for i in odd for p in _pieces(names[i]) if rough[slot(p)] >= enough})
     telling = {p for p, k in held.items() if k >= enough}
+    of_word = {int(i): told for i in np.flatnonzero(clean) if (told := telling & _pieces(names[i]))}
+    seen: Counter = Counter()
+    for k in np.flatnonzero(label == 0):
+        # A copy counts as one that is seen at least once.
+        for piece in set().union(*(of_word.get(i, ()) for i in texts[k].tolist())):
+            seen[piece] = max(1, seen[piece] + int(first[k]))
+    telling -= {p for p, k in seen.items() if k > _borne(noise, held[p], kept0, kept1)}
     del held, rough
-    for i in np.flatnonzero(clean):
-        telling -= _pieces(names[i])
     seeds = [names[i] for i in np.flatnonzero(suspect) if telling & _pieces(names[i])]
     if not seeds:
         return constant
     number = dict(zip(names, suspect.tolist(), strict=True))
     seeds.sort(key=lambda w: (-number[w], w))
     del number
-    plain = [names[i] for i in sorted(np.flatnonzero(clean), key=lambda i: (-clean[i], names[i]))]
+    # What wrong labels put among the others, seeds and words with their pieces, is no counterexample.
+    plain = [names[i] for i in sorted(np.flatnonzero(clean), key=lambda i: (-clean[i], names[i])) if not telling & of_word.get(int(i), set())]
     rng = np.random.default_rng(7)
 
     def variants(words: list[str]) -> list[str]:
@@ -304,20 +322,19 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     spread = [seeds[int(i)] for i in np.unique(np.geomspace(1, len(seeds), half).astype(int) - 1)]
     base = list(dict.fromkeys([*spread, *seeds[:half]]))[:half]
     base += plain[: landmarks - len(base)]
-    kernel = Kernel.of(seeds + plain[:500])
-    square = gram_matrix(kernel, base, base).astype(float)
+    square = gram_matrix(base, base).astype(float)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    good = seeds[:3000]
+    good = seeds[:SEEDS]
     good = good + variants(good)
     bad = [plain[i] for i in sorted(rng.permutation(len(plain))[:negatives])]
     for _ in range(3):
-        x = gram_matrix(kernel, good + bad, base) @ root.astype(np.float32)
+        x = gram_matrix(good + bad, base) @ root.astype(np.float32)
         w = _svm(x, np.r_[np.ones(len(good)), -np.ones(len(bad))])
         del x
-        model = Model(kernel, _collapsed(kernel, base, root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        model = Model(_collapsed(base, root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         near = model.margins(plain)
-        bad = sorted({*bad, *(plain[i] for i in np.argsort(-near, kind="stable")[:3000] if near[i] > -0.8)})
+        bad = sorted({*bad, *(plain[i] for i in np.argsort(-near, kind="stable")[:HARD] if near[i] > -0.8)})
     margin = model.margins(names)
     worst = np.array([margin[ids].max(initial=-np.inf) if len(ids) else NOTHING for ids in texts])
     # No text is predicted toxic if the machine accepts none of its words.

@@ -327,16 +327,72 @@ def test_toxicity_rejects_nothing_where_nothing_is_learnt(spark):
 
 def test_folding_landmarks_changes_nothing():
     some = ["stupid", "moron", "hello", "thing", "a", "averyveryverylongwordindeed"[:24]]
-    kernel = toxicity.Kernel.of(some)
     beta = np.array([0.5, -1.0, 2.0])
-    direct = toxicity.gram_matrix(kernel, some, some[:3]) @ beta
-    model = toxicity.Model(kernel, toxicity._collapsed(kernel, some[:3], beta), 0.0, 1.0, 0.0)
-    codes, n, whole = kernel.codes(some)
-    folded = sum(w * model.weights[g].sum(1) for w, g in kernel.grams(codes)) / n + toxicity.WHOLE * model.weights[whole]
+    direct = toxicity.gram_matrix(some, some[:3]) @ beta
+    model = toxicity.Model(toxicity._collapsed(some[:3], beta), 0.0, 1.0, 0.0)
+    codes, n, whole = toxicity.Kernel.codes(some)
+    folded = sum(w * model.weights[g].sum(1) for w, g in toxicity.Kernel.grams(codes)) / n + toxicity.WHOLE * model.weights[whole]
     assert np.allclose(direct, folded, atol=1e-4)
     assert toxicity.fit([(["a"], 0), (["b"], 0)]).scores(np.array([0.0]))[0] < 0.5
 
 
+def test_kernel_against_a_plain_double_sum():
+    some = ["stupid", "st*upid", "idiot", "дурак", "дур-ак", "aaaaaa", "ab", "愚か者め", "x" * 24]
+
+    def subsequences(word):
+        v = toxicity.EDGE + word + toxicity.EDGE
+        out = []
+        for p in toxicity.ORDERS:
+            for at in itertools.combinations(range(len(v)), p):
+                span = at[-1] - at[0] + 1
+                if span <= p + toxicity.SLACK:
+                    out.append(("".join(v[i] for i in at), toxicity.DECAY**span))
+        return out
+
+    def root(word):  # as if no subsequence came up twice
+        return np.sqrt(max(sum(w * w for _, w in subsequences(word)), toxicity.DECAY ** (2.0 * toxicity.ORDERS[0])))
+
+    def kernel(u, v):
+        return sum(a * b for s, a in subsequences(u) for t, b in subsequences(v) if s == t) / root(u) / root(v) + (toxicity.WHOLE**2 if u == v else 0)
+
+    got = toxicity.gram_matrix(some, some)
+    for i, u in enumerate(some):
+        for j, v in enumerate(some):
+            assert abs(got[i, j] - kernel(u, v)) < 1e-4, (u, v)
+
+
+def noisy_fixture(seed, n, wrong):
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        w, insult = words(rng, 40), None
+        if i % 8 == 0:
+            insult = rng.choice(["zquidiot", "grumblix", "bl*ckhead", "дуракус"])
+            at = rng.randrange(1, len(insult))
+            w[rng.randrange(40)] = rng.choice([insult, insult, insult[:at] + rng.choice("*.-x") + insult[at:]])
+        out.append((" ".join(w), int(insult is not None) ^ (rng.random() < wrong), insult is not None))
+    return out
+
+
+@pytest.mark.parametrize("wrong", [0.005, 0.02])
+def test_wrong_labels_cost_no_insults(wrong):
+    model = toxicity.fit([(sorted(toxicity.words_of(t)), y) for t, y, _ in noisy_fixture(1, 2000, wrong)])
+    taken = [(model.scores(np.array([model.margins(sorted(toxicity.words_of(t))).max()]))[0] >= 0.5, bad) for t, _, bad in noisy_fixture(50, 800, 0)]
+    assert all(got for got, bad in taken if bad)
+    assert sum(got for got, bad in taken if not bad) < 0.01 * sum(not bad for _, bad in taken)
+    for form in ("zquidiot", "zq*uidiot", "zqu-idiot", "gru.mblix", "дуракус", "дур*акус"):
+        assert model.scores(model.margins([form]))[0] >= 0.5, form
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = toxic_fixture()
+    long = "harmless words here " * 100_000
+    extra = [(2000, long + " zquidiot"), (2001, long), (2002, "zquidiot"), (2002, "zquidiot"), (2002, "tha ing")]
+    docs = docs_frame(spark, [(i, t) for i, t, _ in rows] + extra).withColumn("toxic", F.lit(1)).withColumn("score", F.lit(0.9)).withColumn("predicted", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).filter("doc_id >= 2000").collect()
+    assert sorted((r.doc_id, r.predicted) for r in got) == [(2000, 1), (2001, 0), (2002, 0), (2002, 1), (2002, 1)]
+
+
 # --- 7 -------------------------------------------------------------------------
 
 
