@@ -107,7 +107,7 @@ class Kernel:
             for x in parts[1:]:
                 value = value * np.uint32(0x9E3779B1) + x
                 seen &= x > 0
-            value = (value ^ (value >> np.uint32(15))) * np.uint32(2654435761) + np.uint32(len(p))
+            value = ((value ^ (value >> np.uint32(15))) + np.uint32(len(p))) * np.uint32(2654435761)
             yield DECAY ** (p[-1] + 1), np.where(seen, (value >> np.uint32(32 - HASH_BITS)) | np.uint32(1), 0)
 
 
