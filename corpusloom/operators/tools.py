@@ -68,10 +68,5 @@ def trace_segments(traces: DataFrame) -> DataFrame:
     return traces.withColumn("segments", F.concat(F.array(part(F.col("input"), False)), steps, F.array(part(F.col("output"), True))))
 
 
-def span_mask(lengths: Column, trainable: Column) -> Column:
-    """A flag for each token, from segment lengths and their flags."""
-    return F.flatten(F.zip_with(lengths, trainable, lambda n, t: F.array_repeat(t, n)))
-
-
 def segment_histogram(df: DataFrame, segments: str = "segments") -> DataFrame:
     return df.groupBy(F.size(segments).alias("n_segments")).agg(F.count("*").alias("n"))

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading, stats, text
-from ..operators import apidocs, corpora, experiments, lowrank, metrics, ordered, regression, resampling, sampling, vectors
+from ..operators import apidocs, corpora, experiments, lowrank, metrics, ordered, regression, resampling, sampling, spans, vectors
 from ..session import shared_folder, table
-from ..sources import tensors
+from ..sources import documents, tensors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -377,6 +377,48 @@ def action_calls(spark: SparkSession, d: str) -> DataFrame:
     return call.select("event_id", "a.function", "a.params", k.alias("k"))
 
 
+# --- spans ----------------------------------------------------------------------
+
+_TOKEN_PATTERN = r"[A-Za-z0-9]+|[ \t\n\r\f]+|[^A-Za-z0-9 \t\n\r\f]"
+
+
+@query(rf"""
+WITH p AS (SELECT conv_id, turn // 8 AS part, turn, role, text, [role || ':', text] AS t, [false, role = 'assistant'] AS f FROM conversations),
+s AS (SELECT conv_id, part, flatten(list(t ORDER BY turn, role, text)) AS t, flatten(list(f ORDER BY turn, role, text)) AS f FROM p GROUP BY conv_id, part),
+m AS (
+    SELECT conv_id, part, regexp_extract_all(array_to_string(t, ''), '{_TOKEN_PATTERN}') AS tokens,
+           array_to_string(list_transform(range(1, len(t) + 1), lambda i: repeat(CASE WHEN f[i] THEN '1' ELSE '0' END, length(t[i]))), '') AS chars FROM s
+),
+k AS (SELECT conv_id, part, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS token, chars FROM m),
+e AS (SELECT conv_id, part, i, length(token) AS n, chars, sum(length(token)) OVER (PARTITION BY conv_id, part ORDER BY i) AS stop FROM k)
+SELECT conv_id, part, count(*) AS n_tokens, count(CASE WHEN NOT contains(chars[stop - n + 1:stop], '0') THEN 1 END) AS n_trained,
+       md5(string_agg(CASE WHEN contains(chars[stop - n + 1:stop], '0') THEN '0' ELSE '1' END, '' ORDER BY i)) AS mask FROM e GROUP BY conv_id, part""")
+def span_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of conversations that are learnt from; one that reaches over a border isn't."""
+    examples = spans.conversation_examples(table(spark, d, "conversations"))
+    tokens = F.transform(spans.pattern_tokens(spans.joined(F.col("segments")), _TOKEN_PATTERN), lambda t: F.length(t))
+    out = examples.withColumn("mask", spans.span_mask(tokens, F.col("segments")))
+    told = F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "")
+    trained = F.size(F.filter("mask", lambda m: m)).cast("long")
+    return out.select("conv_id", "part", F.size("mask").cast("long").alias("n_tokens"), trained.alias("n_trained"), F.md5(told.cast("binary")).alias("mask"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(CASE WHEN length(text) = n_chars THEN 1 END) AS whole FROM documents")
+def document_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of one JSON document that holds a row for each text, told by the commits and read back from its rows."""
+    path = f"{shared_folder(spark, 'document')}/all.json"
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", (F.length("text") == F.col("n_chars")).alias("whole"))
+    told = documents.write_document(rows, path)
+    back = json_lines(spark, path).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("n_chars"), F.sum(F.col("whole").cast("long")).alias("whole"))
+    return back.filter(" AND ".join(f"{name} = {int(told[name])}" for name in ("rows", "n_chars", "whole")))
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a document that this library wrote: each has a line of its own."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"(,|\]\}|\"results\": \[)$", "").alias("v"))
+    return lines.select(F.from_json("v", "doc_id long, n_chars long, whole boolean").alias("r")).filter("r.doc_id IS NOT NULL").select("r.*")
+
+
 # --- API documents -----------------------------------------------------------
 
 _DOCUMENT = """'{"paths": {"/parts/{id}/' || p_type || '": {"parameters": [{"name": "id", "required": true, "description": "' || p_name || '", "schema": {"type": "integer"}}],
