@@ -114,9 +114,9 @@ def histogram_bin(value: Column, most: float, bins: int) -> Column:
     return F.least(F.floor(v * bins / most) + 1, F.lit(bins)).cast("int")
 
 
-def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted values."""
-    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """Aggregate: element n // 2 of a column's sorted values, which tasks count by value first."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def kl_divergence(p: Column, q: Column, eps: float = 1e-10) -> Column:

@@ -82,17 +82,3 @@ def span(df: DataFrame, offset: int, length: int, order: str = "ord") -> DataFra
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not yet done."""
     return df.join(done.select(key), key, "left_anti")
-
-
-def numbered(df: DataFrame, *by: str, name: str = "ord") -> DataFrame:
-    """Dense row numbers from 0 in the order of ``by``, by range partitions and their sizes: no single-task sort."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).persist()
-    sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())  # one row a partition
-    starts, at = [], 0
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
-    base = F.broadcast(spark.createDataFrame(starts, "_p int, _b long"))
-    w = Window.partitionBy("_p").orderBy(*by)
-    return ranged.join(base, "_p").withColumn(name, F.row_number().over(w) - 1 + F.col("_b")).drop("_p", "_b")

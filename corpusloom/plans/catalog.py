@@ -532,7 +532,7 @@ def token_budgets(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT lang, list_extract(list_sort(list(n_chars)), CAST(len(list(n_chars)) // 2 + 1 AS BIGINT)) AS upper_median FROM documents GROUP BY lang""")
 def upper_median_length(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(stats.upper_median(F.collect_list("n_chars")).alias("upper_median"))
+    return table(spark, d, "documents").groupBy("lang").agg(stats.upper_median("n_chars").alias("upper_median"))
 
 
 @query(f"""
@@ -875,7 +875,7 @@ def hard_pool(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred documents of the seeded shuffle; its generator has no SQL."""
-    rows = sampling.numbered(table(spark, d, "documents").select("doc_id"), "doc_id")
+    rows = ordered.numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"], "ord")
     return sampling.shuffled_take(rows, 100).select("pos", "doc_id")
 
 
