@@ -115,7 +115,7 @@ def histogram_bin(value: Column, most: float, bins: int) -> Column:
 
 
 def upper_median(name: str) -> Column:
-    """Aggregate: element n // 2 of a column's sorted values, which tasks count by value first."""
+    """Aggregate: element n // 2 of a column's sorted values, which tasks count by value first; a double."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 

@@ -48,7 +48,7 @@ def budget_metrics(df: DataFrame, budget: Column, tokens: Column, chars: Column,
 def output_analysis(df: DataFrame, boxed: Column, strict: Column, tolerant: Column, present: Column, length: Column, by: list[str]) -> DataFrame:
     return df.withColumn("_length", length).groupBy(*by).agg(
         F.count("*").alias("total"), _if(boxed).alias("has_boxed"), _if(strict).alias("correct_boxed"), _if(tolerant).alias("correct_tolerant"),
-        _if(present).alias("gold_in_text"), F.avg("_length").alias("mean_length"), stats.upper_median("_length").alias("upper_median"),
+        _if(present).alias("gold_in_text"), F.avg("_length").alias("mean_length"), stats.upper_median("_length").cast("long").alias("upper_median"),
     )
 
 

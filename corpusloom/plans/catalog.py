@@ -532,7 +532,7 @@ def token_budgets(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT lang, list_extract(list_sort(list(n_chars)), CAST(len(list(n_chars)) // 2 + 1 AS BIGINT)) AS upper_median FROM documents GROUP BY lang""")
 def upper_median_length(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(stats.upper_median("n_chars").alias("upper_median"))
+    return table(spark, d, "documents").groupBy("lang").agg(stats.upper_median("n_chars").cast("long").alias("upper_median"))
 
 
 @query(f"""
