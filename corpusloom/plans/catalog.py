@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading, stats, text
-from ..operators import apidocs, corpora, experiments, lowrank, metrics, ordered, regression, resampling, sampling, spans, vectors
+from ..operators import apidocs, corpora, experiments, figures, lowrank, metrics, ordered, regression, resampling, sampling, spans, vectors
 from ..session import shared_folder, table
 from ..sources import documents, tensors
 
@@ -758,6 +758,47 @@ def family_cosines(spark: SparkSession, d: str) -> DataFrame:
     return lowrank.family_pairs(found, ["codealpaca"])
 
 
+@query(f"""WITH {_UPDATES.split(', p AS')[0]}, x AS (
+    SELECT exp, source, n, norm, accuracy FROM (SELECT exp, source, n, sqrt(sum(list_dot_product(w, w))) AS norm FROM w GROUP BY exp, source, n) e
+    JOIN (SELECT doc_id % 20 AS k, avg(quality) AS accuracy FROM labels GROUP BY 1) l ON e.exp LIKE '%seed' || l.k
+)
+SELECT exp, source, n, round(norm, 6) AS norm, round(accuracy, 6) AS accuracy, round(regr_slope(accuracy, norm) OVER s * norm + regr_intercept(accuracy, norm) OVER s, 6) AS predicted,
+       round(regr_r2(accuracy, norm) OVER s, 6) AS r2_within, round(regr_r2(accuracy, norm) OVER (), 6) AS r2_pooled, round((0.5 - accuracy) / greatest(norm, 0.01), 6) AS efficiency
+FROM x WINDOW s AS (PARTITION BY source)""")
+def norm_accuracy_figure(spark: SparkSession, d: str) -> DataFrame:
+    """Norm and accuracy of each experiment with its source's line, the fit within and over all sources, and what a unit of norm costs."""
+    norms = vectors.low_rank_norms(_weights(spark, d)).groupBy("exp").agg(F.sqrt(F.sum(F.col("norm_ba") * F.col("norm_ba"))).alias("norm"))
+    graded = table(spark, d, "labels").groupBy((F.col("doc_id") % 20).cast("string").alias("k")).agg(F.avg("quality").alias("accuracy"))
+    named = norms.withColumn("k", F.regexp_extract("exp", r"seed(\d+)$", 1)).withColumn("p", experiments.parse_experiment(F.col("exp")))
+    rows = named.join(graded, "k").select("exp", F.col("p.source").alias("source"), F.col("p.n").alias("n"), "norm", "accuracy")
+    out = figures.norm_accuracy(rows, 0.5)
+    return out.select("exp", "source", "n", *(r(c).alias(c) for c in ("norm", "accuracy", "predicted", "r2_within", "r2_pooled", "efficiency")))
+
+
+@query(f"""WITH {_UPDATES.split(', p AS')[0]} SELECT source, CAST(layer AS INTEGER) AS number, 'q_proj' AS module, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS n
+FROM (SELECT source, layer, sqrt(list_dot_product(w, w)) AS x FROM w) GROUP BY source, layer""")
+def layer_profile_figure(spark: SparkSession, d: str) -> DataFrame:
+    """Norms of updates by source and layer."""
+    out = figures.layer_profile(vectors.low_rank_norms(_weights(spark, d)))
+    return out.select("source", "number", "module", r("mean").alias("mean"), r("std").alias("std"), "n")
+
+
+@query(f"""WITH {_UPDATES} SELECT n_1 AS n, least(source_1, source_2) AS source_a, greatest(source_1, source_2) AS source_b, round(avg(cosine), 12) AS mean, count(*) AS pairs
+FROM c WHERE n_1 = n_2 GROUP BY ALL""")
+def pair_cosines_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """Mean cosines of experiments of equal size by pair of sources."""
+    found = lowrank.update_cosines(lowrank.layer_products(_weights(spark, d))).withColumn("cosine", r("cosine"))
+    return figures.cosines_by_size(found).withColumn("mean", r("mean", 12))
+
+
+@query(f"""WITH {_UPDATES} SELECT least(source_1, source_2) AS source_a, greatest(source_1, source_2) AS source_b, CASE WHEN source_1 = source_2 THEN 'within' ELSE 'cross' END AS kind,
+round(avg(cosine), 12) AS mean, round(stddev_pop(cosine), 12) AS std, min(cosine) AS min, max(cosine) AS max, count(*) AS n FROM c GROUP BY ALL""")
+def source_pair_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Spread of cosines within and across sources."""
+    found = lowrank.update_cosines(lowrank.layer_products(_weights(spark, d))).withColumn("cosine", r("cosine"))
+    return figures.pair_classes(found).withColumns({"mean": r("mean", 12), "std": r("std", 12)})
+
+
 @query(f"""WITH {_UPDATES.split(', p AS')[0]} SELECT w.exp, 'model.layers.' || layer || '.q_proj' AS layer, 2 AS rows, 16 AS cols, round(sqrt(x), 5) AS norm FROM w JOIN (
     SELECT vec_id, list_dot_product(e[1:32], e[1:32]) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 ) t ON t.vec_id // 20 = layer AND w.exp LIKE '%seed' || t.vec_id % 20 WHERE source = 'numinamath'""")
