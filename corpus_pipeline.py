@@ -6,7 +6,6 @@ Each stage reads what the one before it wrote and works on all of it.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,11 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on this input's labelled rows, doesn't reject; all where labels teach nothing."""
+    """Documents that the toxicity model, trained on this input's labelled rows, doesn't reject; all where labels teach nothing.
+
+    Texts count whole, however long; null and empty ones stay, as do rows without an id; repeated rows are judged
+    alike. An empty table gives none.
+    """
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.scorer(model, "text") < 0.5)
 
@@ -54,13 +57,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that an earlier one has; of equals the least id keeps its own.
+
+    Null and empty texts and rows without an id stay as they are; a text of which all was said before stays as an
+    empty one; an id whose rows differ keeps its texts whole. An empty table gives none.
+    """
     return substring.without_spans(docs, substring.repeated_passages(docs))
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a training sequence for every document."""
+    """A place in a training sequence for every document.
+
+    Null and empty texts take the place of their end token; a text longer than the longest sequence is cut into
+    pieces; ties go by id. An empty table gives no rows.
+    """
     lengths = packing.measured(docs, pieces.token_counter(docs, PIECE_MODEL)("text") + 1)
     return packing.best_fit_packing(lengths, lengths["n_tokens"])
 
@@ -77,11 +88,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again for the next; what a stage wrote goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
-        path = f"{common.checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = common.scratch_path(spark, f"pipeline-{name}")
         out.write.parquet(path)
+        if before:
+            common.drop_scratch([before])
+        before = path
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
