@@ -1,6 +1,7 @@
 """The pipeline against brute force, stage by stage."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import test_operators as T
@@ -55,3 +56,20 @@ def test_a_copy_takes_no_other_text_of_its_id_away(spark, tmp_path):
     assert kept.columns == docs.columns
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(1, copied), (2, copied), (2, own), (None, copied)]))
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_without_labels_and_on_an_empty_table(spark, tmp_path):
+    from corpusloom.llm import common
+
+    rng = random.Random(14)
+    docs = T.docs_frame(spark, [(k, " ".join(T.words(rng, 20 + k))) for k in range(6)] + [(7, None), (None, "x")]).drop("fingerprint", "k")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("some", docs), ("empty", docs.limit(0))):
+        folder = tmp_path / name
+        rows.write.parquet(str(folder / "documents.parquet"))
+        none.write.parquet(str(folder / "labels.parquet"))
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in rows.collect()}
+    common.drop_scratch()
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [p for p in Path(shared).iterdir() if p.name.startswith("pipeline-")]
