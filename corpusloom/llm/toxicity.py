@@ -165,10 +165,9 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The machine's output for each word; the largest over a long word's windows."""
-        parts = [(i, p) for i, w in enumerate(words) for p in windows(w)]
         out = np.full(len(words), -np.inf)
-        for at in range(0, len(parts), 1 << 15):
-            some = parts[at : at + (1 << 15)]
+        for at in range(0, len(words), 1 << 14):  # in blocks, for memory
+            some = [(i, p) for i, w in enumerate(words[at : at + (1 << 14)], at) for p in windows(w)]
             codes, n, whole = Kernel.codes([p for _, p in some])
             total = n * WHOLE * self.weights[whole]
             for w, g in Kernel.grams(codes):
@@ -329,7 +328,9 @@ def fit(rows: Iterable[tuple[list[str], int]], landmarks: int = 512, negatives:
     good = good + variants(good)
     bad = [plain[i] for i in sorted(rng.permutation(len(plain))[:negatives])]
     for _ in range(3):
-        x = gram_matrix(good + bad, base) @ root.astype(np.float32)
+        x = gram_matrix(good + bad, base)
+        for at in range(0, len(x), 4096):  # in place, for memory
+            x[at : at + 4096] = x[at : at + 4096] @ root.astype(np.float32)
         w = _svm(x, np.r_[np.ones(len(good)), -np.ones(len(bad))])
         del x
         model = Model(_collapsed(base, root @ w[:-1]), float(w[-1]), 1.0, 0.0)
