@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,9 +23,21 @@ SCHEMA = "exp string, layer string, side string, rows int, cols int, data array<
 WEIGHTS = ["exp", "layer", "side", "rows", "cols", "data"]
 #: Tensors that lie next to each other are read together up to so many bytes.
 RANGE_BYTES = 16 << 20
+#: A file of more ranges than this is read in parts of ``RANGE_BYTES``, in which tensors that filters skip may lie between.
+RANGES = 16
+#: Within a part, what lies between wanted tensors is read along up to so many bytes: less than another read costs.
+GAP_BYTES = 64 << 10
+#: Longer headers are read by the tasks, so that the driver holds no long lists of tensors.
+PLANNED_BYTES = 64 << 10
+#: Rows of a batch that a task gives to Spark.
+BATCH_ROWS = 1000
+#: Tensors of a written file, about; more shards than asked for are written for more.
+FILE_TENSORS = 16_384
 #: No header is larger; a length beyond it is a broken file.
 HEADER_BYTES = 100 << 20
 _KINDS = {"F32": np.dtype("<f4"), "F64": np.dtype("<f8"), "F16": np.dtype("<f2"), "BF16": np.dtype("<u2")}
+#: What a broken file raises.
+_BROKEN = (ValueError, KeyError, TypeError, AttributeError, OSError)
 _NAME = re.compile(r"(.*)\.lora_([AB])(?:\.default)?\.weight")
 
 
@@ -54,15 +67,16 @@ class Tensor:
 
 @dataclass
 class TensorRange(InputPartition):
-    """Neighbouring tensors of a file; or what is wrong with the file."""
+    """Tensors of a file; or where those begin that a task finds in the header itself; or what is wrong with the file."""
 
     path: str
     tensors: list[Tensor]
     error: str | None = None
+    begin: tuple[int, int] | None = None
 
-    def __init__(self, path: str, tensors: list[Tensor], error: str | None = None):
+    def __init__(self, path: str, tensors: list[Tensor], error: str | None = None, begin: tuple[int, int] | None = None):
         super().__init__(None)
-        self.path, self.tensors, self.error = path, tensors, error
+        self.path, self.tensors, self.error, self.begin = path, tensors, error, begin
 
 
 def header(source, size: int) -> list[Tensor]:
@@ -83,6 +97,18 @@ def header(source, size: int) -> list[Tensor]:
     return sorted(out, key=lambda t: t.start)
 
 
+def runs(tensors: list[Tensor], most: int, gap: float = 0) -> Iterator[list[Tensor]]:
+    """Tensors in order of place, parted at gaps of more than ``gap`` bytes and where a run would exceed ``most``."""
+    run: list[Tensor] = []
+    for t in tensors:
+        if run and not (0 <= t.start - run[-1].stop <= gap and t.stop - run[0].start <= most):
+            yield run
+            run = []
+        run.append(t)
+    if run:
+        yield run
+
+
 class TensorReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.suffix = options["path"], options.get("suffix", "")
@@ -102,8 +128,11 @@ class TensorReader(DataSourceReader):
         fits = lambda has, want: has.startswith(want) if isinstance(want, str) else has in want
         return all(fits(values[name], want) for name, want in self.wanted if name in values)
 
+    def _found(self, source, size: int) -> list[Tensor]:
+        return [t for t in header(source, size) if self._keeps(layer=t.layer, side=t.side)]
+
     def partitions(self) -> list[InputPartition]:
-        """Ranges of the tensors wanted; only headers are read here, of files of wanted experiments."""
+        """Ranges of the tensors wanted; only short headers are read here, of files of wanted experiments."""
         from pyarrow import fs
 
         system, base = file_system(self.path)
@@ -118,34 +147,42 @@ class TensorReader(DataSourceReader):
                 return []
             try:
                 with system.open_input_file(info.path) as source:
-                    found = [t for t in header(source, info.size) if self._keeps(layer=t.layer, side=t.side)]
-            except (ValueError, KeyError, TypeError, AttributeError, OSError) as error:
+                    if info.size > PLANNED_BYTES and PLANNED_BYTES < int.from_bytes(source.read_at(8, 0), "little") <= min(HEADER_BYTES, info.size - 8):
+                        return [TensorRange(info.path, [], begin=(at, at + self.most)) for at in range(0, info.size, self.most)]
+                    found = self._found(source, info.size)
+            except _BROKEN as error:
                 return [TensorRange(info.path, [], f"{type(error).__name__}: {error}")]
-            out: list[TensorRange] = []
-            for t in found:
-                last = out[-1].tensors if out else []
-                if last and t.start == last[-1].stop and t.stop - last[0].start <= self.most:
-                    last.append(t)
-                else:
-                    out.append(TensorRange(info.path, [t]))
-            return out
+            parts = list(runs(found, self.most))
+            return [TensorRange(info.path, p) for p in (parts if len(parts) <= RANGES else runs(found, self.most, math.inf))]
 
         with ThreadPoolExecutor(16) as pool:
             return [r for ranges in pool.map(plan, sorted(wanted, key=lambda i: i.path)) for r in ranges]
 
     def read(self, partition: TensorRange) -> Iterator[pa.RecordBatch]:
-        exp = experiment_of(partition.path)
-        if partition.error:
-            yield _batch([(exp, None, None, None, None, None, partition.path, partition.error)])
-            return
+        exp, error, tensors = experiment_of(partition.path), partition.error, partition.tensors
         system, _ = file_system(self.path)
+        if partition.begin:
+            low, high = partition.begin
+            try:
+                with system.open_input_file(partition.path) as source:
+                    tensors = [t for t in self._found(source, source.size()) if low <= t.start < high]
+            except _BROKEN as broken:  # said once for a file
+                error = None if low else f"{type(broken).__name__}: {broken}"
+        if error:
+            yield _batch([(exp, None, None, None, None, None, partition.path, error)])
+        if not tensors:
+            return
         with system.open_input_file(partition.path) as source:
-            first = partition.tensors[0].start
-            raw = source.read_at(partition.tensors[-1].stop - first, first)
-        for t in partition.tensors:
-            data = np.frombuffer(raw, _KINDS[t.kind], t.rows * t.cols, t.start - first)
-            data = (data.astype(np.uint32) << 16).view(np.float32) if t.kind == "BF16" else data.astype(np.float32)
-            yield _batch([(exp, t.layer, t.side, t.rows, t.cols, data, partition.path, None)])
+            for run in runs(tensors, self.most, GAP_BYTES):
+                first = run[0].start
+                raw = source.read_at(max(t.stop for t in run) - first, first)
+                for at in range(0, len(run), BATCH_ROWS):
+                    yield _batch([(exp, t.layer, t.side, t.rows, t.cols, _values(raw, t, first), partition.path, None) for t in run[at : at + BATCH_ROWS]])
+
+
+def _values(raw: bytes, t: Tensor, first: int) -> np.ndarray:
+    data = np.frombuffer(raw, _KINDS[t.kind], t.rows * t.cols, t.start - first)
+    return (data.astype(np.uint32) << 16).view(np.float32) if t.kind == "BF16" else data.astype(np.float32)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -180,13 +217,15 @@ def tensors(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 
 
 def write_tensors(weights: DataFrame, path: str, shards: int = 1) -> DataFrame:
-    """Write ``exp, layer, side, rows, cols, data`` as ``shards`` files for each experiment: ``exp, file, bytes``.
+    """Write ``exp, layer, side, rows, cols, data`` as ``shards`` files for each experiment, more if they'd hold over ``FILE_TENSORS``: ``exp, file, bytes``.
 
     Both matrices of a layer are in one file, chosen by a hash of the layer; a task holds one
     file's. A file appears as a whole under a name that a repeated task uses again. The
-    plan writes when it is run.
+    plan writes when it is run; the rows are counted before.
     """
     ensure_importable(weights.sparkSession)
+    largest = weights.groupBy("exp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shards = max(shards, -(-largest // FILE_TENSORS))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         system, base = file_system(path)

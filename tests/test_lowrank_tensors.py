@@ -120,3 +120,39 @@ def test_written_weights_come_back(spark, tmp_path):
     assert len(files) <= 6 and not list(tmp_path.rglob("*.part")) and len(list(tmp_path.rglob("*.safetensors"))) == len(files)
     back = tensors.tensors(spark, str(tmp_path)).select(*SHAPE.replace(" string", "").replace(" int", "").replace(" array<float>", "").split(", "))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, frame.collect()))
+
+
+def test_many_tensors_make_few_partitions(spark, tmp_path, monkeypatch):
+    n = 300  # side A is wanted of every layer, and B lies between
+    entries = [(f"l.{k}.lora_{s}.weight", "F32", np.full((2, 3), k + (s == "B") / 2, "<f4")) for k in range(n) for s in "AB"]
+    tensor_file(tmp_path / "e" / "m.safetensors", entries)
+    side = EqualTo(("side",), "A")
+
+    def read(**options):
+        reader = tensors.TensorReader({"path": str(tmp_path), **options})
+        list(reader.pushFilters([side]))
+        parts = reader.partitions()
+        batches = [b for p in parts for b in reader.read(p)]
+        rows = [r for b in batches for r in b.to_pylist()]
+        assert sorted((r["layer"], r["side"], r["data"]) for r in rows) == sorted((f"l.{k}", "A", [float(k)] * 6) for k in range(n))
+        return len(parts), len(batches)
+
+    assert read() == (1, 1)
+    assert 10 <= read(rangeBytes="1000")[0] <= 30
+    monkeypatch.setattr(tensors, "GAP_BYTES", 10)
+    assert read()[0] == 1  # read by its ranges
+    monkeypatch.setattr(tensors, "PLANNED_BYTES", 100)  # tasks read the header
+    assert read()[0] == 1
+    assert read(rangeBytes="1000")[0] > 10
+    reader = tensors.TensorReader({"path": str(tmp_path), "rangeBytes": "1000"})
+    assert all(not p.tensors for p in reader.partitions())
+    tensor_file(tmp_path / "e" / "m.safetensors", entries, header=b"{broken" + b" " * 200)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 1 and rows[0]["error"] and rows[0]["exp"] == "e"
+
+
+def test_files_of_many_tensors_are_parted(spark, tmp_path, monkeypatch):
+    rows, _ = weights(np.random.default_rng(1), ["e1"], range(40))
+    monkeypatch.setattr(tensors, "FILE_TENSORS", 10)
+    files = tensors.write_tensors(spark.createDataFrame(rows, SHAPE), str(tmp_path)).collect()
+    assert 4 <= len(files) <= 8 and tensors.tensors(spark, str(tmp_path)).count() == len(rows)
