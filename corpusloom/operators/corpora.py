@@ -209,11 +209,7 @@ def tfidf_to(df: DataFrame, target: DataFrame, text_col: str, by: list[str], top
     """
 
     def weights(x: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-        # Numbered before tokens are exploded: in one select each token would get a number of its own.
-        rows = x.select(*keys, text_col, F.monotonically_increasing_id().alias("_r"))
-        rows = rows.select(*keys, "_r", F.explode(text.tokens(F.col(text_col))).alias("token"))
-        per = rows.groupBy(*keys, "_r", "token").agg(F.count("*").alias("c"))
-        per = per.groupBy(*keys, "token").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+        per = partial_token_counts(x, text_col, keys).groupBy(*keys, "token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         return per, x.groupBy(*keys).agg(F.count("*").alias("docs"))
 
     a, na = weights(df, by)
