@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -354,8 +356,8 @@ def _learnable(labels: DataFrame) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Iterator[tuple[list[str], int]]:
-    """Words and label of at most ``each`` texts of either label, the same every time.
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> DataFrame:
+    """``id, toxic, words`` of at most ``each`` texts of either label, the same every time.
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 5 isn't 0.
     Rows with a null id or label are left out; of several labels of one id the
@@ -367,9 +369,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Ite
     few = take[0].unionAll(take[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(few), "id")
     words = F.pandas_udf(lambda s: s.map(lambda t: sorted(words_of(t))), "array<string>")
-    rows = texts.select("id", "toxic", words("text").alias("words")).orderBy("id", F.size("words"))
-    for r in checkpointed(rows).toLocalIterator():
-        yield r.words, r.toxic
+    return checkpointed(texts.select("id", "toxic", words("text").alias("words")))
 
 
 def scorer(model: Model, name: str) -> Column:
@@ -399,9 +399,19 @@ def scorer(model: Model, name: str) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, each: int = 2500) -> Model:
+    """The model, trained by a task on the sample, which is bounded; only the model comes to the driver."""
     small_batches(docs.sparkSession)
     n, n1 = _learnable(labels).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    return fit(labelled_sample(docs, labels, each), prior=(n1 + 1) / (n + 2))
+    prior = (n1 + 1) / (n + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity").clear()  # what another model's scorer kept
+        rows = ((r["words"], r["toxic"]) for b in batches for r in b.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, prior=prior))], pa.binary())], names=["model"])
+
+    sample = labelled_sample(docs, labels, each).coalesce(1).sortWithinPartitions("id", F.size("words"))
+    found = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(found.model)) if found else fit([], prior=prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = 2500) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 from pathlib import Path
 
@@ -618,3 +619,20 @@ def test_licence_headers_blocks_and_whole_files(spark):
     assert alone == {r.path: r.score for r in licenses.license_scan(df).collect() if r.path in alone}
     tied = spark.createDataFrame([("d/LICENSE.b", body["MIT"]), ("d/LICENSE.a", body["MIT"]), ("d/x", "code")], "path string, text string")
     assert {r.origin_path for r in licenses.license_scan(tied).collect() if r.path == "d/x"} == {"d/LICENSE.a"}
+
+
+def test_a_task_trains_the_toxicity_model(spark, monkeypatch, tmp_path):
+    rows = [(k, f"plain words number {k} here" + (" zzqqxx" if k % 3 == 0 else "")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    real = toxicity.fit
+
+    def seen(rows, prior):
+        Path(tmp_path, str(os.getpid())).touch()
+        return real(rows, prior=prior)
+
+    monkeypatch.setattr(toxicity, "fit", seen)
+    model = toxicity.trained(docs, labels)
+    assert isinstance(model, toxicity.Model)
+    assert toxicity.trained(docs, labels.limit(0)).scores(np.array([0.0]))[0] < 0.5
+    assert list(tmp_path.iterdir()) and not Path(tmp_path, str(os.getpid())).exists()
