@@ -7,7 +7,7 @@ import base64
 import hashlib
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable
-from .common import small_batches, worker_cache
+from .common import Remembered, byte_offsets, sized, small_batches, worker_cache
 
-#: Units and adjacent pairs that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 500_000
-PAIRS = 1_000_000
+#: Slots for adjacent pairs that a worker remembers, eight bytes each; a pair takes the slot of another.
+PAIRS = 1 << 20
+#: Units and characters that are looked up at once.
+UNITS, CHARACTERS = 1 << 18, 4 << 20
 #: Texts of more characters are matched piecemeal, and output batches close at so many bytes.
 LONG = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -73,7 +74,7 @@ class Merges:
         #: Order of merging; single bytes are there from the start.
         self.order = {r: r if len(b) > 1 else -1 for r, b in self.names.items()}
         self.last: dict[int, tuple[int, int]] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting = array.array("q", [-1]) * PAIRS
         made = {r for r, b in self.names.items() if len(b) == 1}
         for r, b in sorted(self.names.items()):
             for k in range(1, len(b)):
@@ -117,12 +118,11 @@ class Merges:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens can stand next to each other; remembered."""
-        known = self.fitting.get((left, right))
-        if known is None:
-            if len(self.fitting) >= PAIRS:
-                self.fitting.clear()
-            known = self.fitting[left, right] = self._meet(left, right)
-        return known
+        slot, pair = (left * 31_321 + right) & (PAIRS - 1), left << 31 | right
+        held = self.fitting[slot]
+        if held >> 1 != pair:
+            held = self.fitting[slot] = pair << 1 | self._meet(left, right)
+        return bool(held & 1)
 
     def merged(self, unit: bytes) -> list[int]:
         """Ids of one unit: longest matches first, stepping back from where no token fits.
@@ -134,7 +134,7 @@ class Merges:
         if whole is not None or not unit:
             return [] if whole is None else [whole]
         longest = [0] * len(unit)
-        size, shorter, fitting = self.size, self.shorter, self.fitting
+        size, shorter, fits = self.size, self.shorter, self.fits
         for end, token in self.automaton.iter(unit.decode("latin-1")):
             longest[end + 1 - size[token]] = token  # ends ascend, so the longest comes last
         n = len(unit)
@@ -144,19 +144,15 @@ class Merges:
         while at < n:
             token, last = longest[at], out[-1] if out else None
             while token is not None:
-                if not dead[at + size[token]]:
-                    if last is None:
-                        break
-                    fit = fitting.get((last, token))
-                    if fit or (fit is None and self.fits(last, token)):
-                        break
+                if not dead[at + size[token]] and (last is None or fits(last, token)):
+                    break
                 token = shorter[token]
             while token is None:
                 dead[at] = 1
                 last = out.pop()
                 at -= size[last]
                 token = shorter[last]
-                while token is not None and (dead[at + size[token]] or (out and not self.fits(out[-1], token))):
+                while token is not None and (dead[at + size[token]] or (out and not fits(out[-1], token))):
                     token = shorter[token]
             out.append(token)
             at += size[token]
@@ -174,20 +170,43 @@ class Merges:
         while part := [text[m.start() : m.end()] for m in itertools.islice(found, 1 << 16)]:
             yield part
 
-    def packed(self, text: str, known: dict[str, bytes]) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit integers; ``known`` remembers units."""
-        out = []
-        for units in self.units(text):
-            got = list(map(known.get, units))
-            if None in got:
-                new = {units[k] for k, value in enumerate(got) if value is None}
-                fresh = {unit: array.array("I", self.merged(unit.encode())).tobytes() for unit in new}
-                got = [fresh[unit] if value is None else value for unit, value in zip(units, got, strict=True)]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known.update(fresh)
-            out.append(b"".join(got))
-        return b"".join(out)
+    def _made(self, units: list[str]) -> list[pa.Array]:
+        return [pa.array([array.array("I", self.merged(unit.encode())).tobytes() for unit in units], pa.binary())]
+
+    def all_packed(self, texts: Iterable[str], known: dict) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; ``known`` holds what is remembered of units."""
+        held = known.setdefault("units", Remembered(pa.binary()))
+        waiting: list[str] = []
+        ends: list[int] = []  # of texts among the units that wait
+        size, begun = 0, []  # begun: the ids so far of a text that goes on
+
+        def flush() -> Iterator[bytes]:
+            nonlocal size
+            places, (values,) = held.found(pa.array(waiting, pa.string()), self._made)
+            ids = values.take(places)
+            at, flat, since = byte_offsets(ids), ids.buffers()[2] or b"", 0
+            for end in ends:
+                begun.append(flat[int(at[since]) : int(at[end])])
+                yield b"".join(begun)
+                begun.clear()
+                since = end
+            begun.append(flat[int(at[since]) : int(at[-1])])
+            waiting.clear()
+            ends.clear()
+            size = 0
+
+        for text in texts:
+            for units in self.units(text):
+                waiting += units
+                size += sum(map(len, units))
+                if len(waiting) >= UNITS or size >= CHARACTERS:
+                    yield from flush()
+            ends.append(len(waiting))
+        yield from flush()
+
+    def packed(self, text: str, known: dict) -> bytes:
+        """One text's ids."""
+        return next(self.all_packed([text], known))
 
     def decoded(self, packed: bytes) -> bytes:
         """Bytes of packed ids."""
@@ -227,11 +246,12 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, known = _vocabulary(shared), worker_cache("byte units")
-        for b in batches:
+        for b in sized(batches):
             since, ids, back, held = 0, [], [], 0
-            for at, text in enumerate(b.column(1)):
-                ids.append(merges.packed(text.as_py() or "", known))
-                back.append(merges.decoded(ids[-1]))
+            texts = (text.as_py() or "" for text in b.column(1))
+            for at, packed in enumerate(merges.all_packed(texts, known)):
+                ids.append(packed)
+                back.append(merges.decoded(packed))
                 held += len(ids[-1]) + len(back[-1])
                 if held > BATCH_BYTES or at + 1 == b.num_rows:
                     part = [b.column(0).slice(since, len(ids)), pa.array(ids, pa.binary()), pa.array(back, pa.binary())]

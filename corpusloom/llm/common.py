@@ -1,4 +1,4 @@
-"""Shared pieces: scratch storage, worker caches, connected components."""
+"""Shared pieces: scratch storage, worker caches, what workers remember, connected components."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +93,69 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class Remembered:
+    """Values of the different strings met so far, in Arrow arrays: some tens of bytes each, where objects take hundreds.
+
+    Past so many strings or bytes, those used least go; what is gone is worked out anew.
+    """
+
+    def __init__(self, *kinds: pa.DataType, strings: int = 500_000, size: int = 64 << 20):
+        self.kinds, self.strings, self.size = kinds, strings, size
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.values = pa.array([], pa.string()), [pa.array([], k) for k in self.kinds]
+        self.uses = np.zeros(0, np.int64)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, *self.values, self.uses))
+
+    def found(self, strings: pa.Array, make: Callable[[list[str]], list[pa.Array]]) -> tuple[pa.Array, list[pa.Array]]:
+        """The place of each string in arrays of values, and these; ``make`` gives the values of strings not held."""
+        held = len(self.keys)
+        coded = pa.concat_arrays([self.keys, strings]).dictionary_encode()  # those held come first and keep their places
+        places = coded.indices.slice(held)
+        fresh = coded.dictionary.slice(held)
+        if len(fresh):
+            made = make(fresh.to_numpy(zero_copy_only=False).tolist())
+            self.values = [pa.concat_arrays([old, new]) for old, new in zip(self.values, made, strict=True)]
+            self.keys = coded.dictionary
+        values = self.values
+        uses = np.bincount(places.to_numpy(), minlength=len(self.keys))
+        uses[:held] += self.uses
+        self.uses = uses
+        if len(self.keys) > self.strings or self.nbytes > self.size:
+            most = pa.array(np.sort(np.argsort(-uses, kind="stable")[: min(len(uses), self.strings) // 2]))
+            self.keys, self.values, self.uses = self.keys.take(most), [x.take(most) for x in values], uses[most.to_numpy()] // 2
+            if self.nbytes > self.size:
+                self.forget()
+        return places, values
+
+
+def byte_offsets(binary: pa.Array) -> np.ndarray:
+    """Where each entry of a string or binary array begins in its buffer of bytes, and where the last ends."""
+    return np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
+
+
+def sized(batches: Iterable[pa.RecordBatch], size: int = 4 << 20, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes in the second column: small batches together, large ones in parts."""
+    held, n, weight = [], 0, 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            upto = min(int(np.searchsorted(ends, before + size - weight)) + 1, b.num_rows, at + rows - n)
+            held.append(b.slice(at, upto - at))
+            n, weight, at = n + upto - at, weight + int(ends[upto - 1]) - before, upto
+            if weight >= size or n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n, weight = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def rejoin_key(c: str | Column) -> Column:
     """An equi-join key that hides how its side is already partitioned.
 

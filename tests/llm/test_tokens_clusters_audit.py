@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -15,6 +17,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.llm import audit, bytebpe, centroids
+from corpusloom.llm.common import Remembered, sized
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -76,6 +79,41 @@ def test_a_vocabulary_with_tokens_that_no_merge_reaches():
         bytebpe.Merges({b"a": 0}, ".", {})
 
 
+def test_what_a_worker_remembers_is_small(merges, library):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("bcdfghklmnprstvw", k=9)) for _ in range(20_000)]
+    text, known = " ".join(words), {}
+    merges.packed("a", known)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    got = merges.packed(text, known)
+    after = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    tracemalloc.stop()
+    assert after - before - len(got) < 150 * len(words)
+    assert memoryview(got).cast("I").tolist() == library.encode_ordinary(text)
+
+
+def test_strings_used_least_are_forgotten():
+    known, made = Remembered(pa.int64(), strings=10), []
+
+    def sizes(new):
+        made.extend(new)
+        return [pa.array(map(len, new), pa.int64())]
+
+    for k in range(1, 40):
+        strings = ["often", "a" * k, "often", ""]
+        places, (values,) = known.found(pa.array(strings), sizes)
+        assert values.take(places).to_pylist() == [len(s) for s in strings] and len(known.keys) <= 10
+    assert made.count("often") == 1
+
+
+def test_rows_stay_in_sized_batches():
+    batches = [pa.record_batch([pa.array(range(n)), pa.array(t)], names=["a", "t"]) for n, t in ((3, ["x" * 9, None, ""]), (2, ["y" * 40, "z"]), (0, pa.array([], pa.string())))]
+    got = list(sized(batches, size=20, rows=4))
+    assert [b.num_rows for b in got] == [4, 1]
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+
+
 def test_long_units_take_linear_time(merges):
     assert len(merges.merged(b"ab" * 200_000)) > 1000  # a quadratic way would not end
 
