@@ -135,6 +135,8 @@ class Remembered:
 
 def byte_offsets(binary: pa.Array) -> np.ndarray:
     """Where each entry of a string or binary array begins in its buffer of bytes, and where the last ends."""
+    if not len(binary):
+        return np.zeros(1, np.int32)
     return np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
 
 

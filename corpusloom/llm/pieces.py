@@ -5,16 +5,18 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import Remembered, byte_offsets, sized, small_batches, worker_cache
 
 MARK = "▁"
 #: Units that a worker remembers.
@@ -58,6 +60,9 @@ class Pieces:
             if len(p) == 1:
                 self.symbol[ord(p)] = i
         self.string = {i: p for p, i in self.names.items()}
+        self.told = pa.array([f"{i}," for i in range(n)], pa.string())
+        #: What a worker remembers of units, by purpose.
+        self.kept: dict[str, Remembered] = {}
         # Merges by rank: the best score first.
         ranked = sorted((-sp.get_score(i), p, i) for p, i in normal.items() if len(p) > 1)
         rank, last = {}, None
@@ -200,6 +205,25 @@ class Pieces:
             return text.split(" ")
         return [u[1:] for u in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
+    def listed(self, texts: pa.Array) -> pa.Array:
+        """A list of units for each text, as ``split`` gives them; null texts count as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.equal(texts, ""), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = pc.or_(odd, pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)))
+        at = np.arange(len(texts)) if self.whole else np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = pc.split_pattern(texts, " ")
+        if not len(at):
+            return plain
+        own = pa.array(list(map(self.split, texts.take(pa.array(at)).to_pylist())), plain.type)
+        order = np.arange(len(texts))
+        order[at] = len(texts) + np.arange(len(at))
+        return pa.concat_arrays([plain, own]).take(pa.array(order))
+
+    def known(self, keys: list[str]) -> list[list[int]]:
+        """The library's ids of units without their first mark. It has none for a bare mark alone; those are the agenda's."""
+        ids = self.library.encode(list(map(_spaced, keys)), num_threads=1)
+        return [i if k else self.ids([MARK])[0] for k, i in zip(keys, ids, strict=True)]
+
     def checked(self, keys: list[str]) -> list[list[int]]:
         """The agenda's ids of units without their first mark, held against the library's for the same units.
 
@@ -235,11 +259,8 @@ def _spaced(key: str) -> str:
     return key.replace(MARK, " ")
 
 
-def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check: bool = True) -> list[list]:
-    """``value(ids)`` for every unit of the texts, from ``known``, which stays bounded.
-
-    Without ``check`` the library alone encodes new units.
-    """
+def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value) -> list[list]:
+    """``value(ids)`` for every unit of the texts, from ``known``, which stays bounded; the library encodes new units."""
     if len(known) > REMEMBERED:
         known.clear()
     got = [list(map(known.get, units)) for units in texts]
@@ -248,8 +269,7 @@ def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check:
     fresh: dict = {}
     for at in range(0, len(new), 1 << 15):
         part = new[at : at + (1 << 15)]
-        ids = pieces.checked(part) if check else pieces.library.encode(list(map(_spaced, part)), num_threads=1)
-        fresh.update(zip(part, map(value, ids), strict=True))
+        fresh.update(zip(part, map(value, pieces.known(part)), strict=True))
     for units, values, at in zip(texts, got, gaps, strict=True):
         for k in at:
             values[k] = fresh[units[k]]
@@ -257,6 +277,24 @@ def looked_up(known: dict, pieces: Pieces, texts: list[list[str]], value, check:
     return got
 
 
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def packed(ids: list[list[int]], kind: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lists of ids as numbers of a type one after another; also all ids, and where each list begins and the last ends."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(ends[-1]))
+    if len(flat) and flat.max() > np.iinfo(kind).max:
+        raise ValueError(f"id {flat.max()} doesn't fit into {np.dtype(kind).itemsize} bytes")
+    return _binary(ends * np.dtype(kind).itemsize, flat.astype(kind)), flat, ends
+
+
+def in_parts(encode, keys: list[str]) -> list[list[int]]:
+    """``encode(keys)``, some at a time."""
+    return [i for at in range(0, len(keys), 1 << 15) for i in encode(keys[at : at + (1 << 15)])]
+
+
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text encoded and decoded: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
@@ -269,23 +307,33 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     model = read_model(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = pieces_of(model), worker_cache("piece text")
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        pieces = pieces_of(model)
+        known = pieces.kept.setdefault("text", Remembered(pa.binary(), pa.binary(), strings=300_000))
+
+        def made(keys: list[str]) -> list[pa.Array]:
+            ids, flat, ends = packed(in_parts(pieces.checked, keys), "<i4")
+            told = pieces.told.take(pa.array(flat))
+            return [ids, _binary(byte_offsets(told)[ends], told.buffers()[2] or b"")]
+
+        for b in sized(batches, 2 << 20):
+            units = pieces.listed(b.column(1))
+            places, values = known.found(units.flatten(), made)
+            ids, told = (x.take(places) for x in values)
+            ends = np.append(0, np.cumsum(pc.list_value_length(units).to_numpy()))
+            ids_at, told_at = byte_offsets(ids)[ends].tolist(), byte_offsets(told)[ends].tolist()
+            flat, digits = np.frombuffer(ids.buffers()[2] or b"", "<i4"), memoryview(told.buffers()[2] or b"")
+            ids_sha = [hashlib.sha256(digits[a : max(a, z - 1)]).hexdigest() for a, z in itertools.pairwise(told_at)]
+            text_sha = []
             for at in range(0, b.num_rows, 250):
-                texts = [t or "" for t in b.column(1).slice(at, 250).to_pylist()]
-                split = [pieces.split(t) for t in texts]
-                found = looked_up(known, pieces, split, lambda ids: (",".join(map(str, ids)), ids))
-                ids = [[i for _, unit in values for i in unit] for values in found]
-                full = [k for k, x in enumerate(ids) if x]
-                decoded = dict(zip(full, pieces.library.decode([ids[k] for k in full], num_threads=1) if full else [], strict=True))
-                n = list(map(len, ids))
-                ids_sha = [sha(",".join(told for told, _ in values)) for values in found]
-                text_sha = [sha(decoded.get(k, "")) for k in range(len(ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 250), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                some = [flat[a // 4 : z // 4].tolist() for a, z in itertools.pairwise(ids_at[at : at + 251])]
+                full = [k for k, x in enumerate(some) if x]
+                back = dict(zip(full, pieces.library.decode([some[k] for k in full], num_threads=1) if full else [], strict=True))
+                text_sha += [hashlib.sha256(back.get(k, "").encode()).hexdigest() for k in range(len(some))]
+            n = pa.array(np.diff(ids_at) // 4, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), n, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -301,7 +349,7 @@ def token_counter(docs: DataFrame, model_path: str):
             n = []
             for at in range(0, len(texts), 250):
                 split = [pieces.split(t or "") for t in texts.iloc[at : at + 250]]
-                n += map(sum, looked_up(known, pieces, split, len, check=False))
+                n += map(sum, looked_up(known, pieces, split, len))
             yield pd.Series(n, dtype="int64")
 
     return F.pandas_udf(run, "long")

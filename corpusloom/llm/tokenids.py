@@ -88,7 +88,7 @@ def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, 250):
                 split = [pieces.split(t or "") for t in b.column(1).slice(at, 250).to_pylist()]
-                found = looked_up(known, pieces, split, lambda ids: array("H", ids).tobytes(), check=False)
+                found = looked_up(known, pieces, split, lambda ids: array("H", ids).tobytes())
                 doc, seq, ids = [], [], []
                 for i, values in zip(b.column(0).slice(at, 250).to_pylist(), found, strict=True):
                     flat = b"".join(values) + end

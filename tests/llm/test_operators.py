@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -226,6 +227,43 @@ def test_pieces_are_the_agendas():
         own.checked(["there"])
 
 
+def test_units_in_arrow_are_the_texts_own():
+    own = pieces.Pieces(open(MODEL, "rb").read())
+    texts = [*ODD, "plain words here", "a ", " a", "one", "  "]
+    assert own.listed(pa.array(texts, pa.string())).to_pylist() == [own.split(t or "") for t in texts]
+    plain = pa.array(["a b", "c"])
+    assert own.listed(plain).to_pylist() == [["a", "b"], ["c"]] and own.listed(plain[:0]).to_pylist() == []
+
+
+def test_few_words_are_encoded_again(spark):
+    """Frequent words stay known when rare ones come in more than a worker remembers."""
+    own, asked = pieces.Pieces(open(MODEL, "rb").read()), []
+    known = common.Remembered(pa.binary(), strings=1000)
+    rng = random.Random(7)
+    usual = ["".join(rng.choices("aeioubcd", k=6)) for _ in range(100)]
+
+    def made(keys):
+        asked.extend(keys)
+        return [pieces.packed(pieces.in_parts(own.checked, keys), "<u2")[0]]
+
+    for _ in range(30):
+        keys = [*usual * 2, *("".join(rng.choices("fghklmnp", k=9)) for _ in range(300))]
+        places, (ids,) = known.found(pa.array(keys), made)
+        got = [np.frombuffer(x, "<u2").tolist() for x in ids.take(places).to_pylist()[:250]]
+        assert got == own.ids([pieces.MARK + k for k in keys[:250]])
+    assert sum(k in set(usual) for k in asked) == len(set(usual)) and known.nbytes < 100_000
+
+
+def test_a_space_at_the_end_has_its_id(spark, tmp_path):
+    texts = [(1, "a "), (2, "a  "), (3, " "), (4, "a b "), (5, "")]
+    docs, path = docs_frame(spark, texts), f"file://{tmp_path}/order"
+    own = pieces.Pieces(open(MODEL, "rb").read()).library
+    want = {i: len(own.encode(t)) for i, t in texts}
+    tokenids.write_training_order(docs, MODEL, path, length=32)
+    assert {r.doc_id: r.n - 1 for r in tokenids.read_training_order(spark, path, 32).collect()} == want
+    assert {r.doc_id: r.n for r in docs.select("doc_id", pieces.token_counter(docs, MODEL)("text").alias("n")).collect()} == want
+
+
 def test_unigram_counts_equal_the_library(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
