@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_cache
-from .pieces import looked_up, pieces_of, read_model
+from .common import Remembered, byte_offsets, sized
+from .pieces import in_parts, packed, pieces_of, read_model
 
 LENGTH = 256
 SHARD_ROWS = 8192
@@ -82,28 +82,31 @@ def sequences(docs: DataFrame, model_path: str, length: int = LENGTH) -> DataFra
     model = read_model(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = pieces_of(model), worker_cache("piece ids")
-        part, row, end = TaskContext.get().partitionId(), 0, np.array([END_ID], "<u2").tobytes()
-        step = 2 * length
-        for b in batches:
-            for at in range(0, b.num_rows, 250):
-                split = [pieces.split(t or "") for t in b.column(1).slice(at, 250).to_pylist()]
-                found = looked_up(known, pieces, split, lambda ids: array("H", ids).tobytes())
-                doc, seq, ids = [], [], []
-                for i, values in zip(b.column(0).slice(at, 250).to_pylist(), found, strict=True):
-                    flat = b"".join(values) + end
-                    cut = [flat[k : k + step] for k in range(0, len(flat), step)]
-                    doc += [i] * len(cut)
-                    seq += range(len(cut))
-                    ids += cut
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(doc), pa.int32()), pa.array(range(row, row + len(doc)), pa.int64()), pa.array(doc, pa.int64()),
-                        pa.array(seq, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary()),
-                    ],
-                    names=["part", "row", "doc_id", "seq", "n", "ids"],
-                )
-                row += len(doc)
+        pieces, part, row = pieces_of(model), TaskContext.get().partitionId(), 0
+        known = pieces.kept.setdefault("ids", Remembered(pa.binary(), strings=200_000))
+        for b in sized(batches, 1 << 20):
+            units = pieces.listed(b.column(1))
+            places, (values,) = known.found(units.flatten(), lambda keys: [packed(in_parts(pieces.known, keys), "<u2")[0]])
+            ids = values.take(places)
+            at = byte_offsets(ids)[np.append(0, np.cumsum(pc.list_value_length(units).to_numpy()))] // 2
+            sizes = np.diff(at) + 1  # with the end id
+            ends = np.cumsum(sizes)
+            flat, inner = np.full(int(ends[-1]), END_ID, "<u2"), np.ones(int(ends[-1]), bool)
+            inner[ends - 1] = False
+            flat[inner] = np.frombuffer(ids.buffers()[2] or b"", "<u2")[: int(at[-1])]
+            count = -(-sizes // length)
+            of = np.repeat(np.arange(len(sizes)), count)
+            seq = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            starts = np.append((ends - sizes)[of] + seq * length, ends[-1])
+            cut = [None, pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(flat)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(of), part, np.int32)), pa.array(np.arange(row, row + len(of))), b.column(0).take(pa.array(of)),
+                    pa.array(seq.astype(np.int32)), pa.array(np.diff(starts).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(of), cut),
+                ],
+                names=["part", "row", "doc_id", "seq", "n", "ids"],
+            )
+            row += len(of)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     return rows.mapInArrow(run, "part int, row long, doc_id long, seq int, n int, ids binary")
